@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import decontaminate, packing, topk, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {"op10_url_filter": url_filter.op10_url_filter}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_packing": packing.op6_packing,
+        "op7_topk": topk.op7_topk,
+        "op10_url_filter": url_filter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.OP10_SQL}
+    return {"op7_topk": topk.OP7_SQL, "op10_url_filter": url_filter.OP10_SQL}
