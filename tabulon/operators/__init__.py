@@ -1,0 +1 @@
+"""Table operators of the language."""
