@@ -396,6 +396,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, share: int) -> Data
     return both.select("a", "b", "a_n", "b_n", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _generated(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) for each of the pairs of columns in each row."""
+    made = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return rows.select(F.explode(made).alias("e")).select("e.*")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) of all nodes in `links` (a, b) but the roots themselves.
 
@@ -409,12 +415,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(state) == before or state[0] == 0:
             break
         before = tuple(state)
-        every = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        every = _generated(edges, ("u", "v"), ("v", "u"))
         least = every.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = every.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        edges = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small_least.select("u", F.col("m").alias("v"))).distinct(), "star")
+        edges = written(_generated(small, ("v", "m"), ("u", "m")).where("u <> v").distinct(), "star")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -447,8 +453,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning:
     # buckets with a member that didn't link to the hub: pairs across components
     failed = stars.join(links, (F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti")
     unsettled = failed.select("bucket").distinct()
-    members = stars.join(unsettled, "bucket", "left_semi")
-    members = members.select("bucket", F.col("member").alias("node"), F.col("member_n").alias("n")).unionAll(members.select("bucket", "hub", "hub_n")).distinct()
+    # hub and member of each edge, as one generated pair: a union of the two would be joined partition by partition
+    pair = F.explode(F.array(F.struct(F.col("member").alias("node"), F.col("member_n").alias("n")), F.struct(F.col("hub").alias("node"), F.col("hub_n").alias("n"))))
+    members = stars.join(unsettled, "bucket", "left_semi").select("bucket", pair.alias("m")).select("bucket", "m.*").distinct()
     members = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     main = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     members = written(members.join(main, "bucket"), "unsettled")
