@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +178,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * _logit(np.array(vote)) + self.offset, -30, 30))))
 
 
+def _distinct(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Of labelled documents with the same least hash of three words in a row, which near copies mostly have, the one of the least id: copies are no evidence of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for text in batch.column(1).to_pylist():
+                w = words_of(text)
+                least.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.int64()), batch.column(2)], names=["doc_id", "least", "label"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").mapInArrow(run, "doc_id long, least long, label int")
+    kept = rows.groupBy("least").agg(F.min(F.struct("doc_id", "label")).alias("one")).select("one.*")
+    # bounded by the number of examples
+    return docs.sparkSession.createDataFrame(kept.collect(), "doc_id long, label int")
+
+
 def _associations(docs: DataFrame, labelled: DataFrame, max_terms: int, least: float) -> list[str]:
     """The terms that go with the label, strongest first: at most `max_terms` with a chi-square of `least` or more."""
 
@@ -244,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     labelled = {r.doc_id: r.label for r in sample.collect()}
     spark = docs.sparkSession
     bounded = spark.createDataFrame(list(labelled.items()), "doc_id long, label int")
-    terms = _associations(docs, bounded, max_terms, least_chi2) if labelled else []
+    terms = _associations(docs, _distinct(docs, bounded), max_terms, least_chi2) if labelled else []
     total, df, examples = _count_terms(docs, terms, labelled)
     idf = np.log((total + 1.0) / (df + 1.0)) + 1.0
     index = BlockMaxIndex.of([(i, y, *unit(c, idf)) for i, y, c in examples])

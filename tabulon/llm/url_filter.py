@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_lower, maybe_broadcast
+from .common import BROADCAST_BYTES, ascii_lower, maybe_broadcast, table
 
 WORDS, BITS_PER_KEY = 4, 16
 
@@ -89,7 +89,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
