@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, jaccard, language, packing, toxicity
-from tabulon.llm.common import maybe_broadcast, table, written
+from tabulon.llm.common import maybe_broadcast, ship, table, written
 
 #: Trigrams from which a text without any likeness to a known language is rejected.
 LEAST_TRIGRAMS = 20
@@ -36,6 +36,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters, and those of LEAST_TRIGRAMS or more that are less likely in every known language than at random."""
+    ship(spark)
     model = language.train(docs)
     found = language.identify(docs.select(_key().alias("doc_id"), "text", "lang", "source"), model, ["doc_id"], "text", declared="lang", host="source")
     return _without(docs, found.where(f"n_trigrams = 0 or (gain < 0 and n_trigrams >= {LEAST_TRIGRAMS})"))
@@ -50,6 +51,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the least id stays, and of repeated rows one."""
+    ship(spark)
     found = written(jaccard.jaccard_components(docs.select("doc_id", "text")), "components")
     again = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
     ids = written(again, "rejected").withColumnRenamed("doc_id", "__id")
@@ -69,6 +71,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of up to 1024 tokens."""
+    ship(spark)
     return packing.pack(docs)
 
 
