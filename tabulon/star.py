@@ -16,7 +16,7 @@ from .external import ExternalFilter
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "part")
 #: Whole years that the date table covers.
-FIRST_YEAR, LAST_YEAR = 1992, 1998
+FIRST_YEAR, LAST_YEAR = 1992, 2001
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
@@ -52,7 +52,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 REV = "sum(l_extendedprice * (1 - l_discount))"
 LINES = "lineitem LEFT JOIN orders ON l_orderkey IS NOT DISTINCT FROM o_orderkey LEFT JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey LEFT JOIN nation ON c_nationkey IS NOT DISTINCT FROM n_nationkey LEFT JOIN region ON n_regionkey IS NOT DISTINCT FROM r_regionkey"
 ORDERS = "orders LEFT JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey LEFT JOIN nation ON c_nationkey IS NOT DISTINCT FROM n_nationkey"
-DAYS = "(SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month FROM generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY) t(d))"
+DAYS = "(SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month FROM generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(d))"
 DAILY = f"(SELECT dd.date, dd.year, dd.quarter, dd.month, CAST(count(o_orderkey) AS BIGINT) AS n, sum(o_totalprice) AS v FROM {DAYS} dd LEFT JOIN orders ON CAST(o_orderdate AS DATE) = dd.date GROUP BY ALL)"
 CELLS = f"(SELECT year, month, min(date) AS lo, max(date) AS hi FROM {DAYS} x GROUP BY year, month)"
 
@@ -155,13 +155,15 @@ QUERIES: dict[str, tuple[str, str]] = {
     "dates_in_period": ('EVALUATE SUMMARIZECOLUMNS(dates[year], dates[month], "x", CALCULATE([Order Value], DATESINPERIOD(dates[date], LASTDATE(dates[date]), -3, MONTH)))', _window("c.hi - INTERVAL 3 MONTH + INTERVAL 1 DAY", "c.hi")),
     "last_non_blank": ('EVALUATE SUMMARIZECOLUMNS(dates[year], dates[month], "x", CALCULATE([Order Value], DATESINPERIOD(dates[date], LASTNONBLANK(dates[date], [Order Value]), 1, DAY)))', f"WITH dy AS {DAILY}, c AS (SELECT year, month, max(date) AS d FROM dy WHERE v IS NOT NULL GROUP BY 1, 2) SELECT c.year AS year, c.month AS month, dy.v AS x FROM c JOIN dy ON dy.date = c.d"),
     "calendar": ('EVALUATE CALENDAR(DATE(1996, 2, 1), "1996-03-15")', "SELECT CAST(d AS DATE) AS \"Date\" FROM generate_series(TIMESTAMP '1996-02-01', TIMESTAMP '1996-03-15', INTERVAL 1 DAY) t(d)"),
-    "dates_of_window": ("EVALUATE PREVIOUSMONTH(dates[date])", "SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '1991-12-01', TIMESTAMP '1991-12-31', INTERVAL 1 DAY) t(d) WHERE d >= TIMESTAMP '1992-01-01'"),
+    "dates_of_window": ("EVALUATE DATESMTD(dates[date])", "SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '2001-12-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(d)"),
+    "dates_between_ends": ('EVALUATE SUMMARIZECOLUMNS(dates[year], dates[month], "x", CALCULATE([Order Value], DATESBETWEEN(dates[date], FIRSTDATE(dates[date]), LASTDATE(dates[date]))))', _window("c.lo", "c.hi")),
+    "today_and_now": ('EVALUATE ROW("d", TODAY(), "y", YEAR(NOW()))', "SELECT current_date AS d, CAST(year(current_date) AS INTEGER) AS y"),
 } | {
     f"{way.lower()}_{unit.lower()}": (f'EVALUATE SUMMARIZECOLUMNS(dates[year], dates[month], "x", CALCULATE([Order Value], {way}{unit}(dates[date])))', _window(f"date_trunc('{unit.lower()}', c.lo) - INTERVAL {n}", f"date_trunc('{unit.lower()}', c.lo) - INTERVAL 1 DAY") if way == "PREVIOUS" else _window(f"date_trunc('{unit.lower()}', c.hi) + INTERVAL {n}", f"date_trunc('{unit.lower()}', c.hi) + INTERVAL {n} + INTERVAL {n} - INTERVAL 1 DAY"))
     for way in ("PREVIOUS", "NEXT")
     for unit, n in (("YEAR", "1 YEAR"), ("QUARTER", "3 MONTH"), ("MONTH", "1 MONTH"), ("DAY", "1 DAY"))
 } | {
-    "calendar_auto": ("EVALUATE CALENDARAUTO()", "WITH e AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT CAST(o_orderdate AS DATE) AS x FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem UNION ALL SELECT DATE '1992-01-01' UNION ALL SELECT DATE '1998-12-31')) SELECT CAST(d AS DATE) AS \"Date\" FROM e, generate_series(CAST(date_trunc('year', lo) AS TIMESTAMP), CAST(date_trunc('year', hi) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS TIMESTAMP), INTERVAL 1 DAY) t(d)"),
+    "calendar_auto": ("EVALUATE CALENDARAUTO()", "WITH e AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT CAST(o_orderdate AS DATE) AS x FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem UNION ALL SELECT DATE '1992-01-01' UNION ALL SELECT DATE '2001-12-31')) SELECT CAST(d AS DATE) AS \"Date\" FROM e, generate_series(CAST(date_trunc('year', lo) AS TIMESTAMP), CAST(date_trunc('year', hi) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS TIMESTAMP), INTERVAL 1 DAY) t(d)"),
     "scalar_text": _scalars([
         ("a", "UPPER(LEFT(part[p_name], 3))", "upper(left(p_name, 3))"), ("b", "LOWER(RIGHT(part[p_brand], 2))", "lower(right(p_brand, 2))"), ("c", "LEN(part[p_name])", "CAST(length(p_name) AS INTEGER)"),
         ("d", "MID(part[p_type], 2, 4)", "substr(p_type, 2, 4)"), ("e", 'SEARCH("A", part[p_name])', "CAST(strpos(lower(p_name), 'a') AS INTEGER)"), ("f", 'FIND("a", part[p_name])', "CAST(strpos(p_name, 'a') AS INTEGER)"),
@@ -182,24 +184,38 @@ QUERIES: dict[str, tuple[str, str]] = {
     "scalar_dates": ("EVALUATE SELECTCOLUMNS(orders, \"k\", orders[o_orderkey], " + ", ".join(f'"{n}", {x}' for n, x in [
         ("y", "YEAR(orders[o_date])"), ("m", "MONTH(orders[o_date])"), ("d", "DAY(orders[o_date])"), ("q", "QUARTER(orders[o_date])"), ("w", "WEEKNUM(orders[o_date])"), ("wd", "WEEKDAY(orders[o_date])"), ("wm", "WEEKDAY(orders[o_date], 2)"), ("h", "HOUR(orders[o_orderdate])"), ("mi", "MINUTE(orders[o_orderdate])"), ("s", "SECOND(orders[o_orderdate])"),
         ("em", "EOMONTH(orders[o_date], 1)"), ("ed", "EDATE(orders[o_date], -1)"), ("dm", 'DATEDIFF(orders[o_date], DATE(1999, 1, 1), MONTH)'), ("dd", 'DATEDIFF(orders[o_date], DATEVALUE("1999-01-01"), DAY)'), ("dy", 'DATEDIFF(orders[o_date], DATE(1999, 1, 1), YEAR)'), ("dw", 'DATEDIFF(orders[o_date], DATE(1999, 1, 1), WEEK)'), ("dq", 'DATEDIFF(orders[o_date], DATE(1999, 1, 1), QUARTER)'), ("t", "TIME(1, 2, 3)"), ("f", 'FORMAT(orders[o_date], "yyyy-mm-dd")'),
-    ]) + ")", f"SELECT o_orderkey AS k, CAST(year({D}) AS INTEGER) AS y, CAST(month({D}) AS INTEGER) AS m, CAST(day({D}) AS INTEGER) AS d, CAST(quarter({D}) AS INTEGER) AS q, CAST(weekofyear({D}) AS INTEGER) AS w, CAST(dayofweek({D}) + 1 AS INTEGER) AS wd, CAST(isodow({D}) AS INTEGER) AS wm, CAST(hour(o_orderdate) AS INTEGER) AS h, CAST(minute(o_orderdate) AS INTEGER) AS mi, CAST(second(o_orderdate) AS INTEGER) AS s, last_day({D} + INTERVAL 1 MONTH) AS em, CAST({D} - INTERVAL 1 MONTH AS TIMESTAMP) AS ed, CAST(date_diff('month', {D}, DATE '1999-01-01') AS INTEGER) AS dm, CAST(date_diff('day', {D}, DATE '1999-01-01') AS INTEGER) AS dd, CAST(date_diff('year', {D}, DATE '1999-01-01') AS INTEGER) AS dy, CAST(date_diff('week', {D}, DATE '1999-01-01') AS INTEGER) AS dw, CAST(date_diff('quarter', {D}, DATE '1999-01-01') AS INTEGER) AS dq, '01:02:03' AS t, strftime({D}, '%Y-%m-%d') AS f FROM orders"),
+    ]) + ")", f"SELECT o_orderkey AS k, CAST(year({D}) AS INTEGER) AS y, CAST(month({D}) AS INTEGER) AS m, CAST(day({D}) AS INTEGER) AS d, CAST(quarter({D}) AS INTEGER) AS q, CAST(weekofyear({D}) AS INTEGER) AS w, CAST(dayofweek({D}) + 1 AS INTEGER) AS wd, CAST(isodow({D}) AS INTEGER) AS wm, CAST(hour(o_orderdate) AS INTEGER) AS h, CAST(minute(o_orderdate) AS INTEGER) AS mi, CAST(second(o_orderdate) AS INTEGER) AS s, last_day({D} + INTERVAL 1 MONTH) AS em, CAST({D} - INTERVAL 1 MONTH AS TIMESTAMP) AS ed, CAST(date_diff('month', {D}, DATE '1999-01-01') AS INTEGER) AS dm, CAST(date_diff('day', {D}, DATE '1999-01-01') AS INTEGER) AS dd, CAST(date_diff('year', {D}, DATE '1999-01-01') AS INTEGER) AS dy, CAST(date_diff('day', date_trunc('week', {D}), date_trunc('week', DATE '1999-01-01')) / 7 AS INTEGER) AS dw, CAST(date_diff('quarter', {D}, DATE '1999-01-01') AS INTEGER) AS dq, '01:02:03' AS t, strftime({D}, '%Y-%m-%d') AS f FROM orders"),
 }
 
 #: Queries under filters from outside: text, filters, SQL.
 FILTERED: dict[str, tuple[str, list[ExternalFilter], str]] = {
     "external_in": ('EVALUATE SUMMARIZECOLUMNS(customer[c_mktsegment], "v", [Order Value])', [ExternalFilter("cust_region", "r_name", "in", ("ASIA", "AFRICA"))], f"SELECT c_mktsegment, sum(o_totalprice) AS v FROM {ORDERS} LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'AFRICA') GROUP BY 1"),
     "external_between": ("EVALUATE orders", [ExternalFilter("orders", "o_totalprice", "between", (100000, 120000))], "SELECT *, CAST(o_orderdate AS DATE) AS o_date FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000"),
-    "external_contains": ('EVALUATE SUMMARIZECOLUMNS(part[p_brand], "n", COUNTROWS(part))', [ExternalFilter("part", "p_type", "contains", ("bra",))], "SELECT p_brand, CAST(count(*) AS BIGINT) AS n FROM part WHERE lower(p_type) LIKE '%bra%' GROUP BY 1"),
+    "external_contains": ('EVALUATE SUMMARIZECOLUMNS(part[p_brand], "n", COUNTROWS(part))', [ExternalFilter("part", "p_type", "contains", ("CON",))], "SELECT p_brand, CAST(count(*) AS BIGINT) AS n FROM part WHERE lower(p_type) LIKE '%con%' GROUP BY 1"),
     "external_tuples": ('EVALUATE SUMMARIZECOLUMNS("n", [Order Count])', [ExternalFilter("orders", "", "in_tuples", (("F", "1-URGENT"), ("O", "2-HIGH")), ("o_orderstatus", "o_orderpriority"))], "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderstatus = 'O' AND o_orderpriority = '2-HIGH')"),
 }
 
 
+#: Queries on a model in which order lines filter orders too.
+BOTH_WAYS: dict[str, tuple[str, str]] = {
+    "both_ways_filter": ('EVALUATE ROW("v", CALCULATE([Order Value], part[p_size] = 7))', "SELECT sum(o_totalprice) AS v FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7)"),
+    "both_ways_group": ('EVALUATE SUMMARIZECOLUMNS(part[p_type], "v", [Order Value])', "SELECT p_type, sum(o_totalprice) AS v FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, p_type FROM lineitem LEFT JOIN part ON l_partkey = p_partkey) ON o_orderkey = l_orderkey GROUP BY 1"),
+}
+
+
+def _both_ways(spark: SparkSession, sf_dir: str) -> Engine:
+    e = engine(spark, sf_dir)
+    e.relate("lineitem", "l_orderkey", "orders", "o_orderkey", True)
+    return e
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def make(text: str, filters: list[ExternalFilter]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: engine(spark, sf_dir).query(text, filters)
 
-    return {n: make(t, []) for n, (t, _) in QUERIES.items()} | {n: make(t, f) for n, (t, f, _) in FILTERED.items()}
+    both = {n: (lambda spark, sf_dir, t=t: _both_ways(spark, sf_dir).query(t)) for n, (t, _) in BOTH_WAYS.items()}
+    return {n: make(t, []) for n, (t, _) in QUERIES.items()} | {n: make(t, f) for n, (t, f, _) in FILTERED.items()} | both
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, (_, s) in QUERIES.items()} | {n: s for n, (_, _, s) in FILTERED.items()}
+    return {n: s for n, (_, s) in (QUERIES | BOTH_WAYS).items()} | {n: s for n, (_, _, s) in FILTERED.items()}
