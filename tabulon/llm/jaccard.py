@@ -4,7 +4,7 @@ A document's set is its distinct word shingles; two documents link when 100 * in
 is a parameter). Documents of the same set are one *set* from the start, so copies never meet each other in pairs.
 
 Order and classes. A shingle in one set only is class 0, one in up to `frequent` sets class 1, others class 2. The
-global order is by class, then by hash, so rare shingles come first. Of a set of n shingles at least t = ceil(0.75 n)
+global order is by the number of sets, in powers of two, then by hash, so rare shingles come first. Of a set of n shingles at least t = ceil(0.75 n)
 are in any linked set, so n - t of its shingles can be missing there. Its prefix is extended until more than n - t
 losses are needed to break all of its signatures: a single shingle of class 0 or 1 breaks with one loss; class-2
 shingles are dealt into `groups` subclasses by hash, all *pairs* in a subclass are signatures, and m shingles there
@@ -15,9 +15,8 @@ the prefix, and a set with more than n - t of them has no link at all.
 Steps. (1) shingles go, packed by hash range, to where their sets are counted; shingles that are in one set end
 there. (2) The others come back by set; prefixes and signatures are made. (3) Sets with a common signature make a
 bucket; buckets with the same members are one. Each member is verified against its bucket's hub. (4) Where a member
-failed, all pairs of the bucket's members that are in different components are verified too, unless a verified path
-joins them already - so no link between components is lost, and no group of near copies is expanded into pairs.
-(5) Components by alternating large and small stars.
+failed, the buckets of one hub are a family: its members outside of the family's largest component are compared with
+all its members, block against block - so no link between components is lost, and no pairs become rows. (5) Components by alternating large and small stars.
 
 Shingles that more than `frequent` sets of one block of documents share, and signatures with many members in one
 bucket of sets, are handled where they are found, so a hot key's rows are not sent to one task.
@@ -47,13 +46,24 @@ WORD_CACHE = 400_000
 class Tuning:
     """Sizes that change the work, never the result."""
 
-    #: sets that a class-1 shingle is in at most; subclasses of class 2; members from which a signature is hot
+    #: sets that a class-1 shingle is in at most, a power of two; subclasses of class 2; members from which a signature is hot
     frequent: int = 256
     groups: int = 16
     hot: int = 512
     #: shingles in a block of documents, and in a range of hashes or a bucket of sets
-    block: int = 2_000_000
-    range: int = 4_000_000
+    block: int = 1_000_000
+    range: int = 2_500_000
+    #: members of a family that are compared at once
+    compared: int = 1024
+
+    @property
+    def level(self) -> int:
+        """The order of the last shingles of class 1: sets, rounded up to a power of two, as its exponent."""
+        return (self.frequent - 1).bit_length()
+
+
+#: The order of shingles that are frequent in one block already.
+LAST = 255
 
 
 U = np.uint64
@@ -194,7 +204,7 @@ def _index_blocks(docs: DataFrame, size: int, ranges: int, tuning: Tuning) -> Da
 
 
 def _open(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Set, size, token and class of each posting in packed rows."""
+    """Set, size, token and order of each posting in packed rows."""
     sets, sizes, tokens, classes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, U)], [np.empty(0, np.uint8)]
     for base, s, z, c, t, k in zip(pdf["base"], pdf["sets"], pdf["sizes"], pdf["counts"], pdf["tokens"], pdf["classes"], strict=True):
         if not s:
@@ -203,7 +213,7 @@ def _open(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         sets.append(np.repeat(np.frombuffer(s, np.int64), counts))
         sizes.append(np.repeat(np.frombuffer(z, np.int32), counts))
         tokens.append(expand(t, 8) if base < 0 else expand(t, 5) | (U(base) << U(40)))
-        classes.append(np.frombuffer(k, np.uint8) if k else np.full(counts.sum(), 2, np.uint8))
+        classes.append(np.frombuffer(k, np.uint8) if k else np.full(counts.sum(), LAST, np.uint8))
     return tuple(np.concatenate(a) for a in (sets, sizes, tokens, classes))
 
 
@@ -233,7 +243,7 @@ def _classify(postings: DataFrame, buckets: int, tuning: Tuning) -> DataFrame:
             runs = np.diff(np.append(first, len(t)))
             frequent = np.isin(t[first], heavy)
             keep = np.repeat((runs > 1) | frequent, runs)
-            kind = np.repeat(np.where(frequent | (runs > tuning.frequent), 2, 1).astype(np.uint8), runs)[keep]
+            kind = np.repeat(np.where(frequent, LAST, np.ceil(np.log2(runs))).astype(np.uint8), runs)[keep]
             at = at[keep]
             sets, sizes, tokens, classes = sets[at], sizes[at], tokens[at], kind
         where = _bucket(sets, buckets)
@@ -285,7 +295,7 @@ def _sign(postings: DataFrame, buckets: int, width: int, share: int, tuning: Tun
         sets, sizes, tokens, classes = sets[new], sizes[new], tokens[new], classes[new]
         first = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])) if len(sets) else np.empty(0, np.int64)
         ends = np.append(first[1:], len(sets))
-        rare = np.add.reduceat((classes == 1).astype(np.int64), first) if len(first) else first
+        rare = np.add.reduceat((classes <= tuning.level).astype(np.int64), first) if len(first) else first
         n = sizes[first].astype(np.int64)
         able = (n - (ends - first)) < n + (-share * n // 100) + 1  # fewer shingles of its own than the losses it can have, and one
         out: list[list] = []
@@ -396,6 +406,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, share: int) -> Data
     return both.select("a", "b", "a_n", "b_n", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _across(members: DataFrame, sets: DataFrame, width: int, share: int, tuning: Tuning) -> DataFrame:
+    """Links (a, b) that join different components of a family (family, node, n, root, main, size): a spanning part of all there are.
+
+    The members that are not in the family's main component are compared with all members, block against block;
+    what is held at once has `compared` rows on either side and a few thousand shingles.
+    """
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["side"] == 1] if key[1] != key[2] else pdf[pdf["root"] != pdf["main"]]
+        right = pdf[pdf["side"] == 0]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        both = pd.concat([left, right])
+        tokens = [expand(t, width) for t in both["tokens"]]
+        rows = np.repeat(np.arange(len(both)), [len(t) for t in tokens])
+        _, column = np.unique(np.concatenate(tokens), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        step = 4096
+        for lo in range(0, int(column[-1]) + 1, step):
+            part = slice(*np.searchsorted(column, [lo, lo + step]))
+            m = np.zeros((len(both), step), np.float32)
+            m[rows[part], column[part] - lo] = 1
+            shared += m[: len(left)] @ m[len(left) :].T
+        sizes = both["n"].to_numpy(np.float64)
+        linked = 100.0 * shared >= share * (sizes[: len(left), None] + sizes[None, len(left) :] - shared)
+        la, ra, lr, rr = left["node"].to_numpy(), right["node"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := top.get(x, x)) != x:
+                top[x] = x = top.get(y, y)
+            return x
+
+        out = []
+        for i in range(len(left)):
+            at = np.flatnonzero(linked[i])
+            _, once = np.unique(rr[at], return_index=True)
+            for j in at[once].tolist():
+                p, q = find(int(lr[i])), find(int(rr[j]))
+                if p != q:
+                    top[p] = q
+                    out.append((int(la[i]), int(ra[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    n = F.ceil(F.col("size") / tuning.compared).cast("int")
+    rows = members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, F.col("node") == F.col("set_id"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_right = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")))
+    as_left = F.transform(F.filter(every, lambda j: j != F.col("block")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    places = F.when(F.col("root") != F.col("main"), F.concat(as_right, as_left)).otherwise(as_right)
+    placed = rows.select("family", "node", "n", "root", "main", "tokens", F.explode(places).alias("p")).select("family", "p.i", "p.j", "p.side", "node", "n", "root", "main", "tokens")
+    return placed.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def _generated(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """(u, v) for each of the pairs of columns in each row."""
     made = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
@@ -450,20 +516,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning:
     tried = stars.groupBy("hub", "member").agg(F.max("hub_n").alias("a_n"), F.max("member_n").alias("b_n")).withColumnsRenamed({"hub": "a", "member": "b"})
     links = written(_verified(tried, sets, width, share), "verified")
     roots = components(links)
-    # buckets with a member that didn't link to the hub: pairs across components
+    # buckets with a member that didn't link to the hub; those of one hub are one family, as they have mostly the same members
     failed = stars.join(links, (F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti")
-    unsettled = failed.select("bucket").distinct()
-    # hub and member of each edge, as one generated pair: a union of the two would be joined partition by partition
+    hubs = stars.join(failed.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.min("hub").alias("low"), F.max("hub").alias("high"))
+    # a hot bucket has several hubs, and is a family of its own
+    family = F.when(F.col("low") == F.col("high"), F.xxhash64(F.lit("hub"), "low")).otherwise(F.xxhash64(F.lit("bucket"), "bucket"))
     pair = F.explode(F.array(F.struct(F.col("member").alias("node"), F.col("member_n").alias("n")), F.struct(F.col("hub").alias("node"), F.col("hub_n").alias("n"))))
-    members = stars.join(unsettled, "bucket", "left_semi").select("bucket", pair.alias("m")).select("bucket", "m.*").distinct()
-    members = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    main = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    members = written(members.join(main, "bucket"), "unsettled")
-    one, other = members.where("root <> main").alias("x"), members.alias("y")
-    across = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))))
-    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("a_n"), F.greatest("x.node", "y.node").alias("b"), F.when(F.col("x.node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("x.n")).alias("b_n"))
-    pairs = pairs.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * share).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_verified(pairs, sets, width, share), "verified")
+    members = stars.join(hubs.select("bucket", family.alias("family")), "bucket").select("family", pair.alias("m")).select("family", "m.*").distinct()
+    members = written(members.join(roots, "node", "left").select("family", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    main = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).where("most < size")
+    more = written(_across(members.join(main.select("family", "main", "size"), "family"), sets, width, share, tuning), "verified")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     release(spark)

@@ -53,7 +53,7 @@ def corpus(seed, n, words=400):
     return [(i + 10, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "tuning"), [(1, Tuning()), (2, Tuning(frequent=1, groups=2, hot=3, block=500, range=900)), (3, Tuning(frequent=3, groups=4, hot=5, block=2000, range=4000))])
+@pytest.mark.parametrize(("seed", "tuning"), [(1, Tuning()), (2, Tuning(frequent=1, groups=2, hot=3, block=500, range=900, compared=5)), (3, Tuning(frequent=4, groups=4, hot=5, block=2000, range=4000, compared=20))])
 def test_against_all_pairs(spark, seed, tuning):
     rows = corpus(seed, 220)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tuning=tuning).collect()
