@@ -16,7 +16,8 @@ Steps. (1) shingles go, packed by hash range, to where their sets are counted; s
 there. (2) The others come back by set; prefixes and signatures are made. (3) Sets with a common signature make a
 bucket; buckets with the same members are one. Each member is verified against its bucket's hub. (4) Where a member
 failed, the buckets of one hub are a family: its members outside of the family's largest component are compared with
-all its members, block against block - so no link between components is lost, and no pairs become rows. (5) Components by alternating large and small stars.
+all its members, block against block - so no link between components is lost, and no pairs become rows. (5)
+Components by alternating large and small stars.
 
 Shingles that more than `frequent` sets of one block of documents share, and signatures with many members in one
 bucket of sets, are handled where they are found, so a hot key's rows are not sent to one task.

@@ -183,7 +183,7 @@ def identify(rows: DataFrame, model: LanguageModel, keys: list[str], body: str,
     joined = joined.withColumn("__m", F.array_max("__s"))
     best = F.array_position("__s", F.col("__m"))
     confidence = 1.0 / F.aggregate("__s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__m")))
-    return joined.select(*out, F.element_at(F.lit(names), best.cast("int")).alias("lang"), confidence.alias("confidence"), F.element_at(F.lit(names), F.col("text_lang") + 1).alias("text_lang"), "gain", "n_trigrams")
+    return joined.select(*out, F.element_at(F.lit(names), best.cast("int")).alias("lang"), confidence.alias("confidence"), F.when(F.col("text_lang").isNotNull(), F.element_at(F.lit(names), F.coalesce("text_lang", F.lit(0)) + 1)).alias("text_lang"), "gain", "n_trigrams")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Words are runs of letters and digits, lower-cased. Each run of GRAM words has a
 hash is a fingerprint, so any GRAM + WINDOW - 1 equal words in a row share one with the template. The index maps a
 fingerprint to its places in the templates, which are a parameter and so of bounded size; it is broadcast. A text's
 fingerprints that are in the index are anchors; anchors of one template on near diagonals are one candidate, if they
-are as many as a match of the least coverage would mostly leave. A candidate is aligned word by word within BAND of its diagonals: equal words gain 2, other steps lose 1, and the best local
-alignment gives the span and the coverage - equal words as a share of the template's.
+are as many as a match of the least coverage would mostly leave. A candidate is aligned word by word within BAND of
+its diagonals: equal words gain 2, other steps lose 1, and the best local alignment gives the span and the coverage -
+equal words as a share of the template's. A match with BAND words or more left out in a row counts as two parts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 WORD = re.compile(r"[^\W_]+")
-GRAM, WINDOW, BAND = 2, 2, 4
+GRAM, WINDOW, BAND = 2, 2, 8
 EQUAL, OTHER = 2, -1
 
 # Public license notices, as they are commonly written.
@@ -112,30 +113,36 @@ def scan_text(numbers: np.ndarray, templates: list[np.ndarray], index: dict[int,
     found = []
     for k, mine in sorted(anchors.items()):
         template = templates[k]
+        reach, need = min(BAND, len(template) // 2), least_anchors(len(template), least)
         mine.sort(key=lambda x: x[1])
-        groups: list[list[int]] = []
-        for diagonal, _ in mine:
-            for g in reversed(groups[-4:]):
-                if abs(diagonal - g[-1]) <= BAND:
-                    g.append(diagonal)
+        groups: list[list[tuple[int, int]]] = []
+        for anchor in mine:
+            for g in reversed(groups[-16:]):
+                if abs(anchor[0] - g[-1][0]) <= reach:
+                    g.append(anchor)
                     break
             else:
-                groups.append([diagonal])
+                groups.append([anchor])
         taken: set[int] = set()
         for g in groups:
-            if len(g) < least_anchors(len(template), least):
-                continue
-            low, high = min(g) - BAND, max(g) + BAND
-            exact = g[0]
-            if exact >= 0 and np.array_equal(numbers[exact : exact + len(template)], template):
-                equal, start, end = len(template), exact, exact + len(template)
-            else:
-                begin = max(0, low)
-                _, equal, start, end, _ = align(numbers[begin : high + len(template) + 1], template, low - begin, high - begin)
-                start, end = start + begin, end + begin
-            if equal / len(template) >= least and start not in taken:
-                taken.add(start)
-                found.append((k, equal / len(template), equal, start, end))
+            done = 0
+            while len(g) >= need:
+                exact = g[0][0]
+                if exact >= 0 and np.array_equal(numbers[exact : exact + len(template)], template):
+                    equal, start, end = len(template), exact, exact + len(template)
+                else:
+                    low, high = min(d for d, _ in g) - reach, max(d for d, _ in g) + reach
+                    begin = max(done, low)
+                    _, equal, start, end, _ = align(numbers[begin : high + len(template) + 1], template, low - begin, high - begin)
+                    start, end = start + begin, end + begin
+                if equal / len(template) < least:
+                    break
+                if start not in taken:
+                    taken.add(start)
+                    found.append((k, equal / len(template), equal, start, end))
+                # what stands after the match may be another
+                done = end
+                g = [x for x in g if x[1] >= end]
     return found
 
 

@@ -87,10 +87,12 @@ class BlockMaxIndex:
     @staticmethod
     def of(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         """examples: id, label, terms, weights."""
+        if not examples:
+            return BlockMaxIndex(np.empty(0, np.int64), np.empty(0, np.int64), {}, 0)
         examples = sorted(examples, key=lambda e: (int(e[2][np.argmax(e[3])]), e[2].tolist(), e[3].tolist(), e[0]))
         rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-        terms = np.concatenate([e[2] for e in examples]) if examples else np.empty(0, np.int64)
-        weights = np.concatenate([e[3] for e in examples]) if examples else np.empty(0)
+        terms = np.concatenate([e[2] for e in examples])
+        weights = np.concatenate([e[3] for e in examples])
         order = np.argsort(terms, kind="stable")
         postings = {}
         held, first = np.unique(terms[order], return_index=True)
