@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
 
 from .errors import QueryError
+from .lang.parser import KEYWORDS
 from .model.schema import Format, Model
 
 AGGREGATES = ("SUM", "COUNT", "AVERAGE", "MIN", "MAX", "DISTINCTCOUNT", "VALUES")
@@ -27,7 +29,8 @@ class Field:
 
 
 def quoted(name: str) -> str:
-    return name if name.replace("_", "a").replace(".", "a").isalnum() and not name[0].isdigit() else "'" + name.replace("'", "''") + "'"
+    plain = re.fullmatch(r"[^\W\d]\w*(?:\.[^\W\d]\w*)*", name) and name.upper() not in KEYWORDS | {"TRUE", "FALSE", "NOT", "AND", "OR"}
+    return name if plain else "'" + name.replace("'", "''") + "'"
 
 
 def reference(table: str, name: str) -> str:

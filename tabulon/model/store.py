@@ -26,8 +26,8 @@ def to_toml(model: Model) -> str:
     """The same model always gives the same text."""
     lines: list[str] = []
 
-    def section(name: str, **values) -> None:
-        lines.append(name)
+    def section(head: str, /, **values) -> None:
+        lines.append(head)
         for k, v in values.items():
             if v is not None:
                 lines.append(f"{k} = {str(v).lower() if isinstance(v, bool) else v if isinstance(v, int) else _quoted(v)}")
