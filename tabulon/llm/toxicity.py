@@ -110,10 +110,15 @@ class BlockMaxIndex:
             if (found := self.postings.get(t)) is not None:
                 bound[found[2]] += w * found[4]
                 lists.append((w, found))
+        # cosines are compared to ten digits, bounds with a little more, so that rounding hides no neighbour
+        bound = np.round(bound + 1e-12, 10)
         best: list[tuple[float, int]] = []  # (cosine, -position), the worst first
         for b in np.lexsort((np.arange(self.n_blocks), -bound)).tolist():
-            if len(best) == k and bound[b] < best[0][0] - 1e-12:
-                break
+            if len(best) == k and bound[b] <= best[0][0]:
+                if bound[b] < best[0][0]:
+                    break
+                if b * BLOCK > -best[0][1]:  # could only tie, at a greater position
+                    continue
             scores = np.zeros(BLOCK)
             for w, (at, weight, blocks, starts, _) in lists:
                 i = int(np.searchsorted(blocks, b))
@@ -121,12 +126,13 @@ class BlockMaxIndex:
                     mine = slice(starts[i], starts[i + 1])
                     scores[at[mine] - b * BLOCK] += w * weight[mine]
             n = min(BLOCK, len(self.ids) - b * BLOCK)
+            scores = np.round(scores, 10)
             top = np.flatnonzero(scores[:n] >= (best[0][0] if len(best) == k else -1))
             for i in top.tolist():
                 at = b * BLOCK + i
                 if at == without:
                     continue
-                entry = (round(float(scores[i]), 12), -at)
+                entry = (float(scores[i]), -at)
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
@@ -250,11 +256,11 @@ def _count_terms(docs: DataFrame, terms: list[str], labelled: dict[int, int]) ->
     return total, df, sorted(examples, key=lambda e: e[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 12_000, max_terms: int = 8_192, least_chi2: float = 24.0, k: int = 15, max_calibration: int = 3_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 12_000, max_terms: int = 8_192, least_chi2: float = 36.0, k: int = 15, max_calibration: int = 3_000) -> Model:
     """Learn from `labels` (doc_id, label 0 or 1) on `docs` (doc_id, text).
 
     The examples are a sample of the labelled rows of about `max_examples` at most, by a hash of doc_id; a document
-    with both labels counts as 1; null ids and labels are left out. Document frequencies come from all of `docs`.
+    with both labels counts as 1; null ids and labels are left out. `least_chi2` allows for the million terms or so that are tried. Document frequencies come from all of `docs`.
     Without examples all scores are 0.5 or below.
     """
     rows = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
