@@ -62,7 +62,7 @@ def _mod(a: Column, b: Column) -> Column:
 
 
 def _to_multiple(how: Callable[[Column], Column]) -> Callable[..., Column]:
-    return lambda x, s=None: how(x) if s is None else how(number(x) / F.when(s != 0, number(s))) * s
+    return lambda x, s=None: number(how(x)) if s is None else how(number(x) / F.when(s != 0, number(s))) * number(s)
 
 
 def _weekday(d: Column, kind: int = 1) -> Column:
