@@ -263,7 +263,7 @@ def _cluster(e, request: Request, keys: list[Key]) -> DataFrame:
     """Aggregates of one set of tables by the keys' columns."""
     filters = [f for f in request.context.filters if all(e.reaches(t, request.roots) for t in f.tables)]
     df, _ = e.scan(request.roots, keys, filters, request.needed)
-    return df.groupBy(*[F.col(e.mcol(*k.of)).alias(k.col) for k in keys]).agg(*[c for _, c in request.aggregates])
+    return df.groupBy(*[F.col(e.mcol(*k.of)).alias(k.col) for k in keys]).agg(*e.columns_of(request))
 
 
 def _stitched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -341,7 +341,7 @@ def _grouping_sets(e, every: list[GroupKey], levels: list, pairs: list, pts: Poi
     by_id = {id(k): f"k{i}" for i, k in enumerate(every)}
     sets = [[F.col(by_id[id(k)]) for k in keys] for keys, _ in levels]
     grouped = df.groupingSets(sets, *[F.col(k.col) for k in own])
-    df = grouped.agg(F.grouping_id().alias("_level"), *[c for _, c in request.aggregates])
+    df = grouped.agg(F.grouping_id().alias("_level"), *e.columns_of(request))
     cells.df, cells.pending = df, {}
     columns = [e.scalar(x, cells, ctx) for _, x in pairs]
     # the level's number has a bit for each key that is rolled up, the first key highest

@@ -130,13 +130,13 @@ class Context:
 
 @dataclass
 class Request:
-    """Aggregates that have the same rows: alias and column of each, over the joined model tables."""
+    """Aggregates that have the same rows: alias, function and argument of each, over the joined model tables."""
 
     context: Context
     roots: tuple[str, ...]
     needed: set[str] = field(default_factory=set)
     corr: set[str] = field(default_factory=set)
-    aggregates: list[tuple[str, Column]] = field(default_factory=list)
+    aggregates: list[tuple[str, str, Column]] = field(default_factory=list)
 
 
 class Points:

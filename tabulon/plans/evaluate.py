@@ -22,6 +22,8 @@ from .context import Context, Filter, Frame, Key, ModelColumn, Out, PointRef, Po
 from .timeintel import PERIODS, TIME_FUNCTIONS, TimeIntelligence
 
 AGGREGATES = {"SUM", "AVERAGE", "MIN", "MAX", "MEDIAN", "COUNT", "COUNTA", "COUNTBLANK", "DISTINCTCOUNT"}
+#: Aggregates that can be taken of parts first, and the aggregate of the parts.
+IN_PARTS = {"SUM": "SUM", "MIN": "MIN", "MAX": "MAX", "COUNT": "SUM", "COUNTA": "SUM", "ROWS": "SUM"}
 ITERATORS = {"SUMX": "SUM", "AVERAGEX": "AVERAGE", "COUNTX": "COUNT", "MINX": "MIN", "MAXX": "MAX"}
 TO_DATE = {"TOTALYTD": "DATESYTD", "TOTALQTD": "DATESQTD", "TOTALMTD": "DATESMTD"}
 TABLE_FUNCTIONS = {"ADDCOLUMNS", "ALL", "ALLEXCEPT", "CALCULATETABLE", "CALENDAR", "CALENDARAUTO", "CROSSJOIN", "DISTINCT", "EXCEPT", "FILTER", "GENERATE", "GENERATEALL", "INTERSECT", "RELATEDTABLE", "ROW", "SELECTCOLUMNS", "SUMMARIZECOLUMNS", "TOPN", "TREATAS", "UNION", "VALUES"} | TIME_FUNCTIONS
@@ -441,7 +443,7 @@ class Evaluator:
             request = pts.pending[key] = Request(Context(ctx.keys, ctx.filters), roots)
         request.needed |= needed
         request.corr |= corr
-        request.aggregates.append((alias, self._aggregate_column(name, column).alias(alias)))
+        request.aggregates.append((alias, name, column))
         pts.memo[memo] = alias
         return F.col(alias)
 
@@ -554,7 +556,7 @@ class Evaluator:
         """The aggregates of a request by columns of the points."""
         keys, filters = self._routes(request.context, request.roots)
         df, waiting = self.scan(request.roots, keys, filters, request.needed)
-        columns = [c for _, c in request.aggregates]
+        columns = self.columns_of(request)
         if not waiting and not request.corr:
             by: dict[ModelColumn, str] = {}
             same = []
@@ -568,9 +570,18 @@ class Evaluator:
                 return df.groupBy(*used).agg(*columns), used
             found = df.groupBy(*[F.col(self.mcol(*of)).alias(col) for of, col in by.items()]).agg(*columns)
             return found, tuple(by.values())
+        if not request.corr and all(f.kind == "window" for f in waiting) and all(name in IN_PARTS for _, name, _ in request.aggregates):
+            # a row may be in many windows: sums of each day go into them, not rows
+            by = list(dict.fromkeys([self.mcol(*k.of) for k in keys] + [self.mcol(*f.columns[0]) for f in waiting]))
+            parts = [(alias, name, fresh("p")) for alias, name, _ in request.aggregates]
+            df = df.groupBy(*by).agg(*[self._aggregate_column(name, c).alias(p) for (_, name, p), (_, _, c) in zip(parts, request.aggregates, strict=True)])
+            columns = [self._aggregate_column(IN_PARTS[name], F.col(p)).alias(alias) for alias, name, p in parts]
         df, used = self.matched(df, keys, waiting, pts, request.corr)
         return df.groupBy(*used).agg(*columns), used
 
+    def columns_of(self, request: Request) -> list[Column]:
+        return [self._aggregate_column(name, c).alias(alias) for alias, name, c in request.aggregates]
+
     # context transition and CALCULATE
 
     def transition(self, pts: Points, ctx: Context, values: list[str]) -> Context:
