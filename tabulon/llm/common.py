@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that an operator broadcasts; beyond it every operator has a way that doesn't.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows and bytes that a Python worker gets at once, at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; one of this machine's own only where that is unset."""
@@ -43,7 +51,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once: functions that run there refer to it."""
+    """Give executors this package, once: functions that run there refer to it. And bound what they get at once, as texts may be long."""
+    for name, most in BATCH.items():
+        now = int(spark.conf.get(name, str(most)).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
     sc = spark.sparkContext
     if getattr(sc, "_tabulon_shipped", False):
         return
@@ -59,6 +71,43 @@ def ship(spark: SparkSession) -> None:
     sc._tabulon_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other work, and what it keeps adds to its executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy_batches(run: Callable) -> Callable:
+    """For mapInArrow: memory is given back after a partition."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """For grouped functions: memory is given back after a group."""
+
+    def one(pdf):
+        out = run(pdf)
+        give_back()
+        return out
+
+    def two(key, pdf):
+        out = run(key, pdf)
+        give_back()
+        return out
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; what is done with it may run on executors, so they get the package."""
     ship(spark)

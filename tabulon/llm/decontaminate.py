@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy_batches
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of item texts in one broadcast block.
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
             name = hashlib.blake2b(row[0].tobytes() + starts.tobytes(), digest_size=8).digest()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in [name, *(a.tobytes() for a in row)]], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(build), INDEX)
 
 
 class Segment:
@@ -189,7 +189,7 @@ def search_index(index: DataFrame, phrases: Phrases, slack: int | None = None) -
                     names=["row", "doc_id", "n_words", "spans", "items", "near_items"],
                 )
 
-    return index.mapInArrow(search, "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>")
+    return index.mapInArrow(tidy_batches(search), "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _merged(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([batch.schema.field(0), batch.schema.field(1), batch.schema.field(2), pa.field("spans", pa.list_(pa.int64())), batch.schema.field(4), batch.schema.field(5)]))
 
     grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"))
-    return grouped.mapInArrow(join_spans, "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>")
+    return grouped.mapInArrow(tidy_batches(join_spans), "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int | None = None) -> DataFrame:

@@ -38,9 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidy_batches, tidy_group, written
 
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,8 @@ class Tuning:
     groups: int = 16
     hot: int = 512
     #: shingles in a block of documents, and in a range of hashes or a bucket of sets
-    block: int = 1_000_000
-    range: int = 2_500_000
+    block: int = 500_000
+    range: int = 1_500_000
     #: members of a family that are compared at once
     compared: int = 1024
 
@@ -133,7 +133,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                 ids.append(set_id(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(run), "doc_id long, n_shingles long, set_id long")
 
 
 POSTINGS = "key long, base long, sets binary, sizes binary, counts binary, tokens binary, classes binary, heavy binary"
@@ -201,7 +201,7 @@ def _index_blocks(docs: DataFrame, size: int, ranges: int, tuning: Tuning) -> Da
         if (last := flush(ids, hashes)) is not None:
             yield last
 
-    return docs.select("text").mapInArrow(run, POSTINGS)
+    return docs.select("text").mapInArrow(tidy_batches(run), POSTINGS)
 
 
 def _open(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def _classify(postings: DataFrame, buckets: int, tuning: Tuning) -> DataFrame:
         rows = list(_chunks(where[order], sets[order], sizes[order], tokens[order], classes[order], max(key, -1), 5 if key >= 0 else 8))
         return pd.DataFrame(rows, columns=NAMES)
 
-    return postings.groupBy("key").applyInPandas(run, POSTINGS)
+    return postings.groupBy("key").applyInPandas(tidy_group(run), POSTINGS)
 
 
 def prefix_signatures(n: int, tokens: np.ndarray, n_rare: int, share: int, groups: int) -> np.ndarray:
@@ -334,7 +334,7 @@ def _sign(postings: DataFrame, buckets: int, width: int, share: int, tuning: Tun
                 out.append([1, int(where[lo]), mine[heads].tobytes(), z[lo:hi][heads].astype(np.int32).tobytes(), counts.tobytes(), g[lo:hi].tobytes() + flag[lo:hi].tobytes(), 0, 0])
         return pd.DataFrame(out, columns=[c.split()[0] for c in SETS.split(", ")])
 
-    return postings.groupBy("key").applyInPandas(run, SETS)
+    return postings.groupBy("key").applyInPandas(tidy_group(run), SETS)
 
 
 EDGES = "bucket long, hub long, hub_n long, member long, member_n long"
@@ -385,7 +385,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
                 sets, sizes = np.frombuffer(s, np.int64), np.frombuffer(z, np.int32).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in _star(np.array([key]), sets, sizes, np.array([0]))], names=[c.split()[0] for c in EDGES.split(", ")])
 
-    return signed.where("kind = 1").groupBy("key").applyInPandas(run, EDGES).unionAll(signed.where("kind = 2").select("key", "sets", "sizes").mapInArrow(local, EDGES))
+    return signed.where("kind = 1").groupBy("key").applyInPandas(tidy_group(run), EDGES).unionAll(signed.where("kind = 2").select("key", "sets", "sizes").mapInArrow(tidy_batches(local), EDGES))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, share: int) -> DataFrame:
@@ -404,7 +404,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, share: int) -> Data
     fit = pairs.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * share)
     left = fit.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = left.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a")
-    return both.select("a", "b", "a_n", "b_n", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_n", "b_n", "ta", "tb").mapInArrow(tidy_batches(run), "a long, b long")
 
 
 def _across(members: DataFrame, sets: DataFrame, width: int, share: int, tuning: Tuning) -> DataFrame:
@@ -460,7 +460,7 @@ def _across(members: DataFrame, sets: DataFrame, width: int, share: int, tuning:
     as_left = F.transform(F.filter(every, lambda j: j != F.col("block")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side")))
     places = F.when(F.col("root") != F.col("main"), F.concat(as_right, as_left)).otherwise(as_right)
     placed = rows.select("family", "node", "n", "root", "main", "tokens", F.explode(places).alias("p")).select("family", "p.i", "p.j", "p.side", "node", "n", "root", "main", "tokens")
-    return placed.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return placed.groupBy("family", "i", "j").applyInPandas(tidy_group(compare), "a long, b long").distinct()
 
 
 def _generated(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table
+from .common import maybe_broadcast, table, tidy_batches
 from .url_filter import url_parts
 
 BUCKETS, EVIDENCE, SMOOTHING = 1 << 15, 40.0, 5.0
 #: Languages that a model has at most, the most frequent ones.
 MAX_LANGUAGES = 200
+#: Trigrams that are held before they are counted.
+COUNTED = 1 << 20
 #: Letters stay, all else is a space. Bytes from 0x80 are parts of letters.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256))
 HIDDEN = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>")
@@ -44,13 +46,13 @@ def visible_text(page: str | None) -> str:
 def trigrams(text: str | None) -> np.ndarray:
     """Bucket of each byte trigram with at least two letters."""
     if not text:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint16)
     b = np.frombuffer(b" " + text.lower().encode().translate(LETTERS) + b" ", np.uint8)
     letter = b != 32
     keep = letter[:-2].view(np.uint8) + letter[1:-1] + letter[2:] >= 2
     w = b.astype(np.uint32)
     code = (w[:-2] * np.uint32(0x9E3779B1) + w[1:-1] * np.uint32(0x85EBCA77) + w[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(17)
-    return code[keep].astype(np.int64)
+    return code[keep].astype(np.uint16)
 
 
 @dataclass
@@ -74,18 +76,29 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Langua
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {}
-            for body, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(lang, []).append(trigrams(body))
+        parts: dict[str, list[np.ndarray]] = {}
+        waiting = 0
+
+        def add() -> None:
             for lang, found in parts.items():
                 counts[lang] = counts.get(lang, 0) + np.bincount(np.concatenate(found), minlength=BUCKETS)
                 rows[lang] = rows.get(lang, 0) + len(found)
+            parts.clear()
+
+        for batch in batches:
+            for body, lang in zip(batch.column(0), batch.column(1), strict=True):
+                codes = trigrams(body.as_py())
+                parts.setdefault(lang.as_py(), []).append(codes)
+                waiting += len(codes)
+                if waiting >= COUNTED:
+                    add()
+                    waiting = 0
+        add()
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], rows[lang]))], names=["lang", "bucket", "n"])
 
-    found = docs.select(F.col(text).alias("body"), F.col(language).alias("lang")).where("body is not null and lang is not null and lang <> ''").mapInArrow(count, "lang string, bucket long, n long")
+    found = docs.select(F.col(text).alias("body"), F.col(language).alias("lang")).where("body is not null and lang is not null and lang <> ''").mapInArrow(tidy_batches(count), "lang string, bucket long, n long")
     sums = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     languages = sorted(r.lang for r in sums.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
     at = {lang: i for i, lang in enumerate(languages)}
@@ -104,7 +117,8 @@ def _scored(rows: DataFrame, model: LanguageModel, is_markup: bool) -> DataFrame
         m = known.value
         for batch in batches:
             ll, gain, n, best = [], [], [], []
-            for body in batch.column(batch.num_columns - 1).to_pylist():
+            for value in batch.column(batch.num_columns - 1):
+                body = value.as_py()
                 a, g, k = m.log_likelihood(visible_text(body) if is_markup else body)
                 ll.append(a.tolist())
                 gain.append(g)
@@ -113,7 +127,7 @@ def _scored(rows: DataFrame, model: LanguageModel, is_markup: bool) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(ll, pa.list_(pa.float64())), pa.array(gain, pa.float64()), pa.array(n, pa.int64()), pa.array(best, pa.int32())], names=[*keys, "ll", "gain", "n_trigrams", "text_lang"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, ll array<double>, gain double, n_trigrams long, text_lang int")
+    return rows.mapInArrow(tidy_batches(run), f"{schema}, ll array<double>, gain double, n_trigrams long, text_lang int")
 
 
 def _counts(rows: DataFrame, by: str, n: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table, written
+from .common import maybe_broadcast, table, tidy_batches, written
 from .tokens import ByteBpe, Vocabulary, default_vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, num long"
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, size: int, end_id: int) -> D
                 seen[v] += n
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), pa.array([part] * len(nums), pa.int32()), pa.array(nums)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.mapInArrow(cut, PIECES)
+    return docs.mapInArrow(tidy_batches(cut), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: Vocabulary | None = None, size: int = 1024, end_id: int = 0) -> DataFrame:
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary | None = None, size: int = 1024
                 offset[mine] = rows[at, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy_batches(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

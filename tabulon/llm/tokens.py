@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Stretches that one worker keeps; then it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 
 
 @dataclass(frozen=True)

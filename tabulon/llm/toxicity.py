@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy_batches
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
@@ -197,7 +197,7 @@ def _distinct(docs: DataFrame, labelled: DataFrame) -> DataFrame:
                 least.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.int64()), batch.column(2)], names=["doc_id", "least", "label"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").mapInArrow(run, "doc_id long, least long, label int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").mapInArrow(tidy_batches(run), "doc_id long, least long, label int")
     kept = rows.groupBy("least").agg(F.min(F.struct("doc_id", "label")).alias("one")).select("one.*")
     # bounded by the number of examples
     return docs.sparkSession.createDataFrame(kept.collect(), "doc_id long, label int")
@@ -220,7 +220,7 @@ def _associations(docs: DataFrame, labelled: DataFrame, max_terms: int, least: f
     c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
     below = (a + b) * (c + d) * F.lit(float(n0) * float(n1))
     strength = F.when(below > 0, F.pow(F.greatest(F.abs(a * d - b * c) - (n0 + n1) / 2, F.lit(0.0)), 2) * (n0 + n1) / below).otherwise(0.0)
-    found = rows.mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
+    found = rows.mapInArrow(tidy_batches(count), "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
     return [r.term for r in found.withColumn("s", strength).where(F.col("s") >= least).orderBy(F.desc("s"), "term").limit(max_terms).select("term").collect()]
 
 
@@ -243,7 +243,7 @@ def _count_terms(docs: DataFrame, terms: list[str], labelled: dict[int, int]) ->
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([0] * (len(at) + 1) + [1] * len(ids)), pa.array([-1, *at.tolist(), *ids], pa.int64()), pa.array([total, *df[at].tolist(), *[0] * len(ids)], pa.int64()), pa.array([[]] * (len(at) + 1) + found, pa.list_(pa.int64()))], names=["kind", "key", "n", "counts"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "kind long, key long, n long, counts array<long>")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy_batches(count), "kind long, key long, n long, counts array<long>")
     # one pass: a group for each term, and one for each labelled document (of repeated ids the first in order)
     total, df, examples = 0, np.zeros(len(terms), dtype=np.int64), []
     for r in rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("counts").alias("counts")).collect():
@@ -316,7 +316,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(labels, pa.list_(pa.int64())), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "near_ids", "near_cosines", "near_labels", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, near_ids array<long>, near_cosines array<double>, near_labels array<long>, evidence array<string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(run), "doc_id long, score double, predicted int, near_ids array<long>, near_cosines array<double>, near_labels array<long>, evidence array<string>")
 
 
 def held_out(doc_id) -> F.Column:
