@@ -50,17 +50,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id stays, and of repeated rows one."""
+    """Of each component of near copies one row stays: that of the least id (null last), then of the least key; of repeated rows one."""
     ship(spark)
-    found = written(jaccard.jaccard_components(docs.select("doc_id", "text")), "components")
-    again = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    ids = written(again, "rejected").withColumnRenamed("doc_id", "__id")
-    kept = docs.join(maybe_broadcast(ids, 32 * ids.count()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
-    if not repeated.limit(1).count():
+    found = written(jaccard.jaccard_components(_keyed(docs)), "components")
+    ids = docs.select(_key().alias("__key"), F.col("doc_id").alias("__id")).distinct()
+    members = found.select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids, "__key")
+    # keys are joined with keys, so that a component with many members is not one task's
+    stay = members.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("one")).select(F.col("one.__key").alias("doc_id"))
+    kept = _without(docs, found.join(stay, "doc_id", "left_anti"))
+    repeated = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    n = repeated.count()
+    if not n:
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    marked, again = kept.withColumn("__key", _key()), F.col("__key") == F.col("__again")
+    once = marked.join(maybe_broadcast(repeated, 32 * n), again, "left_anti")
+    more = marked.join(maybe_broadcast(repeated, 32 * n), again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,30 @@ def test_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         for d in (df, df.limit(0)):
             stage(spark, d, SF).collect()
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    near = lambda k, n: base[k] + f" tail{n}"
+    rows = [(1, base[0]), (None, near(0, 1)), (None, base[1]), (None, "a clean text of its own"), (7, base[0]), (7, base[2]), (7, "another text that stands alone")]
+    rows += [(None, near(3, i)) for i in range(3)] + [(9, near(4, 1)), (9, near(4, 2)), (5, base[5]), (5, base[5]), (None, base[1]), (None, None), (None, None), (8, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+
+    distinct = sorted(set(rows), key=str)
+    known = jaccard.WordHashes()
+    sets = [set(jaccard.shingles(jaccard.words_of(t), 5, known).tolist()) for _, t in distinct]
+    group = list(range(len(distinct)))
+    for i in range(len(distinct)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 4 * both >= 3 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    order = lambda i: (i is None, i or 0)
+    for g in set(group):
+        members = [r for r, x in zip(distinct, group, strict=True) if x == g]
+        mine = [r for r in kept if r in members]
+        assert len(mine) == 1 and order(mine[0][0]) == min(order(i) for i, _ in members)
+    assert len(kept) == len(set(group))
