@@ -3,8 +3,9 @@
 Words are runs of letters and digits, lower-cased. Each run of GRAM words has a hash; of every WINDOW runs the least
 hash is a fingerprint, so any GRAM + WINDOW - 1 equal words in a row share one with the template. The index maps a
 fingerprint to its places in the templates, which are a parameter and so of bounded size; it is broadcast. A text's
-fingerprints that are in the index are anchors; anchors of one template on near diagonals are one candidate, if they
-are as many as a match of the least coverage would mostly leave. A candidate is aligned word by word within BAND of
+fingerprints that are in the index are anchors; a longest chain of anchors of one template, each on a diagonal near
+the one before and further on in text and template, is one candidate, if its anchors are as many as a match of the
+least coverage would mostly leave. A candidate is aligned word by word within BAND of
 its diagonals: equal words gain 2, other steps lose 1, and the best local alignment gives the span and the coverage -
 equal words as a share of the template's. A match with BAND words or more left out in a row counts as two parts.
 """
@@ -12,6 +13,7 @@ equal words as a share of the template's. A match with BAND words or more left o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +104,35 @@ def least_anchors(n: int, least: float) -> int:
     return max(1, (n - GRAM + 1 - GRAM * int((1 - least) * n)) // (2 * WINDOW))
 
 
+def chains(anchors: list[tuple[int, int]], reach: int, need: int) -> Iterator[list[tuple[int, int]]]:
+    """Chains of `need` or more anchors (diagonal, text place; in order of the text), longest first, no anchor in two.
+
+    An anchor follows the longest chain that ends within `reach` diagonals and before it in both text and template; so
+    stray anchors, of which there are many if a template repeats its words, neither split a chain nor hide it.
+    """
+    if len(anchors) < need:
+        return
+    latest: dict[int, int] = {}
+    length, before = [0] * len(anchors), [-1] * len(anchors)
+    for i, (d, at) in enumerate(anchors):
+        most, near = 0, -1
+        for e in range(d - reach, d + reach + 1):
+            if (j := latest.get(e)) is not None and anchors[j][1] < at and anchors[j][1] - e < at - d and (length[j] > most or length[j] == most and abs(e - d) < abs(anchors[near][0] - d)):
+                most, near = length[j], j
+        length[i], before[i], latest[d] = most + 1, near, i
+    free = [True] * len(anchors)
+    for i in sorted(range(len(anchors)), key=lambda i: -length[i]):
+        if length[i] < need:
+            break
+        chain = []
+        while i >= 0 and free[i]:
+            free[i] = False
+            chain.append(anchors[i])
+            i = before[i]
+        if len(chain) >= need:
+            yield chain[::-1]
+
+
 def scan_text(numbers: np.ndarray, templates: list[np.ndarray], index: dict[int, list[tuple[int, int]]], least: float) -> list[tuple[int, float, int, int, int]]:
     """Template number, coverage, equal words and word span [from, to) of each match with coverage of `least` or more."""
     h, at = fingerprints(numbers)
@@ -115,19 +146,11 @@ def scan_text(numbers: np.ndarray, templates: list[np.ndarray], index: dict[int,
         template = templates[k]
         reach, need = min(BAND, len(template) // 2), least_anchors(len(template), least)
         mine.sort(key=lambda x: x[1])
-        groups: list[list[tuple[int, int]]] = []
-        for anchor in mine:
-            for g in reversed(groups[-16:]):
-                if abs(anchor[0] - g[-1][0]) <= reach:
-                    g.append(anchor)
-                    break
-            else:
-                groups.append([anchor])
         taken: set[int] = set()
-        for g in groups:
+        for g in chains(mine, reach, need):
             done = 0
             while len(g) >= need:
-                exact = g[0][0]
+                exact = Counter(d for d, _ in g).most_common(1)[0][0]
                 if exact >= 0 and np.array_equal(numbers[exact : exact + len(template)], template):
                     equal, start, end = len(template), exact, exact + len(template)
                 else:
@@ -143,7 +166,7 @@ def scan_text(numbers: np.ndarray, templates: list[np.ndarray], index: dict[int,
                 # what stands after the match may be another
                 done = end
                 g = [x for x in g if x[1] >= end]
-    return found
+    return sorted(found, key=lambda m: (m[0], m[3]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.75) -> DataFrame:

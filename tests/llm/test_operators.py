@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -426,3 +427,25 @@ def test_winnowing_guarantee():
         part = t[5 : 5 + licenses.GRAM + licenses.WINDOW - 1]
         text = np.concatenate([rng.integers(0, 1 << 60, 20).astype(np.uint64), part, rng.integers(0, 1 << 60, 20).astype(np.uint64)])
         assert np.intersect1d(licenses.fingerprints(t)[0], licenses.fingerprints(text)[0]).size
+
+
+def test_long_templates_that_repeat_their_words(spark):
+    """Stray anchors on many diagonals neither hide nor split a match, whole or with words changed and put in."""
+    rng = np.random.default_rng(5)
+    pairs = [f"p{i} q{i}" for i in range(30)]
+    long = {n: " ".join(pairs[rng.integers(30)] if rng.random() < 0.7 else f"{n}{i}" for i in range(m)) for n, m in (("one", 700), ("two", 1500))}
+    for n in ("Apache-2.0", "MPL-2.0", "GPL-3", "LGPL-2.1"):
+        if os.path.exists(path := f"/usr/share/common-licenses/{n}"):
+            long[n] = open(path, encoding="utf-8").read()
+    names = sorted(long)
+    changed = lambda words: " ".join(w if i % 20 else f"z{i} z{i}y" for i, w in enumerate(words))
+    rows = [(i, "Before it. " + long[n] + " and after") for i, n in enumerate(names)]
+    rows += [(100 + i, "Before it. " + changed(licenses.words_of(long[n])) + " " + long[n]) for i, n in enumerate(names)]
+    by = {}
+    for r in licenses.scan(frame(spark, rows), long).collect():
+        by.setdefault((r.doc_id, r.license), []).append(r)
+    for i, n in enumerate(names):
+        words = len(licenses.words_of(long[n]))
+        (m,) = by[i, n]
+        assert (m.coverage, m.start_word, m.end_word) == (1.0, 2, 2 + words)
+        assert sorted((r.coverage > 0.99, r.coverage >= 0.94) for r in by[100 + i, n]) == [(False, True), (True, True)]
