@@ -265,6 +265,14 @@ def test_block_max_search_is_exact():
         assert np.allclose([c for c, _ in got], s[want]) and {p for c, p in got if c > s[want[-1]] + 1e-8} == {int(p) for p in want if s[p] > s[want[-1]] + 1e-8}
 
 
+def test_rare_toxic_words_are_terms(spark):
+    """A word in 5 of 113 toxic and in no clean example of 1000 (chi-square 31) is a term, one in 3 (14) is not."""
+    rows = [(i, f"common word{i} " + ("rareone " if i < 5 else "") + ("raretwo" if 5 <= i < 8 else "")) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i < 113)) for i in range(1000)], "doc_id long, toxic int")
+    terms = toxicity.fit(frame(spark, rows), labels).terms
+    assert "rareone" in terms and "raretwo" not in terms
+
+
 def test_toxicity_without_examples_or_rows(spark):
     df = spark.createDataFrame([(1, "a b")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
