@@ -9,14 +9,16 @@ log P(language | row) = text + declared + address suffix + host prior, up to a c
 * host prior: hierarchically smoothed counts of the text's language: host towards its domain, that towards its
   top-level domain, that towards all rows. A row's own text is taken out of its host's counts.
 
-Counts come from grouped aggregation over all rows; the tables of values are joined, and broadcast only if small. The
-model has languages * BUCKETS numbers, whatever the input.
+Counts come from grouped aggregation over all rows; the tables of values are joined, and broadcast only if small. Every
+known language is in the model: it has languages * BUCKETS numbers, and of more than DENSE languages only those of the
+buckets that a language has.
 """
 
 from __future__ import annotations
 
 import html as html_
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,8 @@ from .common import maybe_broadcast, table, tidy_batches
 from .url_filter import url_parts
 
 BUCKETS, EVIDENCE, SMOOTHING = 1 << 15, 40.0, 5.0
-#: Languages that a model has at most, the most frequent ones.
-MAX_LANGUAGES = 200
+#: Languages up to which a model is a full matrix; and that a worker counts before it passes the counts on.
+DENSE, AT_ONCE = 200, 64
 #: Trigrams that are held before they are counted.
 COUNTED = 1 << 20
 #: Letters stay, all else is a space. Bytes from 0x80 are parts of letters.
@@ -58,18 +60,29 @@ def trigrams(text: str | None) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: buckets x languages
-    log_p: np.ndarray
+    #: buckets x languages; of more than DENSE languages none
+    log_p: np.ndarray | None
+    #: of more than DENSE languages: each one's log-probability of a bucket it hasn't; where the buckets' entries begin, the entries' languages and what they add
+    sparse: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def log_likelihood(self, text: str | None) -> tuple[np.ndarray, float, int]:
         """Tempered log-likelihoods; the best language's mean gain over even odds, per trigram; the number of trigrams."""
         codes = trigrams(text)
         if not len(codes) or not self.languages:
             return np.zeros(len(self.languages)), 0.0, 0
-        mean = self.log_p[codes].mean(axis=0)
+        mean = self.log_p[codes].mean(axis=0) if self.sparse is None else self._sparse_mean(codes)
         return mean * min(float(len(codes)), EVIDENCE), float(mean.max() + np.log(BUCKETS)), len(codes)
 
 
+    def _sparse_mean(self, codes: np.ndarray) -> np.ndarray:
+        base, starts, langs, adds = self.sparse
+        buckets, times = np.unique(codes, return_counts=True)
+        first = starts[buckets]
+        n = starts[buckets.astype(np.int64) + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        return base + np.bincount(langs[at], adds[at] * np.repeat(times, n), minlength=len(base)) / len(codes)
+
+
 def train(docs: DataFrame, text: str = "text", language: str = "lang") -> LanguageModel:
     """Trigram counts of all texts of known language; each language is smoothed by one count in each bucket."""
 
@@ -85,6 +98,14 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Langua
                 rows[lang] = rows.get(lang, 0) + len(found)
             parts.clear()
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            add()
+            for lang, c in counts.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], rows[lang]))], names=["lang", "bucket", "n"])
+            counts.clear()
+            rows.clear()
+
         for batch in batches:
             for body, lang in zip(batch.column(0), batch.column(1), strict=True):
                 codes = trigrams(body.as_py())
@@ -93,19 +114,31 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Langua
                 if waiting >= COUNTED:
                     add()
                     waiting = 0
-        add()
-        for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], rows[lang]))], names=["lang", "bucket", "n"])
+                if len(counts.keys() | parts.keys()) >= AT_ONCE:
+                    yield from counted()
+                    waiting = 0
+        yield from counted()
 
     found = docs.select(F.col(text).alias("body"), F.col(language).alias("lang")).where("body is not null and lang is not null and lang <> ''").mapInArrow(tidy_batches(count), "lang string, bucket long, n long")
     sums = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r.lang for r in sums.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
+    languages = sorted(r.lang for r in sums.where("bucket = -1").collect())
     at = {lang: i for i, lang in enumerate(languages)}
-    matrix = np.ones((BUCKETS, len(languages)))
-    for r in sums.where(F.col("bucket") >= 0).where(F.col("lang").isin(languages) if languages else F.lit(False)).toLocalIterator():
-        matrix[r.bucket, at[r.lang]] += r.n
-    return LanguageModel(languages, np.log(matrix / matrix.sum(axis=0)) if languages else matrix)
+    counts = sums.where(F.col("bucket") >= 0).toLocalIterator()
+    if len(languages) <= DENSE:
+        matrix = np.ones((BUCKETS, len(languages)))
+        for r in counts:
+            matrix[r.bucket, at[r.lang]] += r.n
+        return LanguageModel(languages, np.log(matrix / matrix.sum(axis=0)) if languages else matrix)
+    buckets, langs, n = array("H"), array("i"), array("d")
+    for r in counts:
+        buckets.append(r.bucket)
+        langs.append(at[r.lang])
+        n.append(r.n)
+    buckets, langs, n = np.frombuffer(buckets, np.uint16), np.frombuffer(langs, np.int32), np.frombuffer(n)
+    order = np.lexsort((langs, buckets))
+    base = -np.log(BUCKETS + np.bincount(langs, n, minlength=len(languages)))
+    starts = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+    return LanguageModel(languages, None, (base, starts, langs[order], np.log1p(n[order])))
 
 
 def _scored(rows: DataFrame, model: LanguageModel, is_markup: bool) -> DataFrame:
@@ -130,9 +163,22 @@ def _scored(rows: DataFrame, model: LanguageModel, is_markup: bool) -> DataFrame
     return rows.mapInArrow(tidy_batches(run), f"{schema}, ll array<double>, gain double, n_trigrams long, text_lang int")
 
 
+def _by_language(per: DataFrame, by: list[str], n: int) -> DataFrame:
+    """`by` and counts, an array with a place for each language; per: `by`, text_lang, n."""
+    summed = per.groupBy(*by, "text_lang").agg(F.sum("n").alias("n"))
+    held = summed.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "n"))).alias("m"))
+    place = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))
+    return held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), place).alias("counts"))
+
+
+def _per(rows: DataFrame, by: str) -> DataFrame:
+    """For each value of `by` and each text language, how many rows there are."""
+    return rows.where(F.col(by).isNotNull() & F.col("text_lang").isNotNull()).groupBy(by, "text_lang").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _counts(rows: DataFrame, by: str, n: int) -> DataFrame:
     """For each value of `by`, how many rows have each text language."""
-    return rows.where(F.col(by).isNotNull() & F.col("text_lang").isNotNull()).groupBy(by).agg(F.array(*[F.count(F.when(F.col("text_lang") == i, 1)) for i in range(n)]).alias("counts"))
+    return _by_language(_per(rows, by), [by], n)
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -161,7 +207,9 @@ def identify(rows: DataFrame, model: LanguageModel, keys: list[str], body: str,
     from .common import written
 
     scored = written(scored, "evidence")
-    totals = scored.agg(F.array(*[F.count(F.when(F.col("text_lang") == i, 1)) for i in range(n)]).alias("t")).first().t
+    totals = [0] * n
+    for r in scored.where("text_lang is not null").groupBy("text_lang").count().collect():
+        totals[r["text_lang"]] = r["count"]
     all_rows = sum(totals)
     base = [(t + 1.0) / (all_rows + n) for t in totals]
     score = F.col("ll")
@@ -179,13 +227,13 @@ def identify(rows: DataFrame, model: LanguageModel, keys: list[str], body: str,
     prior = F.lit(base)
     if host is not None:
         labels = F.split("__host", r"\.")
-        hosts = _counts(scored, "__host", n).withColumn("tld", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("__host")))
-        summed = F.array(*[F.sum(F.element_at("counts", i + 1)) for i in range(n)])
+        per = _per(scored, "__host").withColumn("tld", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("__host")))
+        hosts = _by_language(per, ["__host", "domain"], n)
         size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
         toward = lambda counts, parent: F.zip_with(counts, parent, lambda x, p: x + p * SMOOTHING)
         shares = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda a, y: a + y))
-        domains = hosts.groupBy("domain", "tld").agg(summed.alias("counts"))
-        tlds = domains.groupBy("tld").agg(summed.alias("counts")).select("tld", shares(toward(F.col("counts"), F.lit(base))).alias("tld_p"))
+        domains = _by_language(per, ["domain", "tld"], n)
+        tlds = _by_language(per, ["tld"], n).select("tld", shares(toward(F.col("counts"), F.lit(base))).alias("tld_p"))
         domains = domains.join(tlds, "tld").select("domain", shares(toward(F.col("counts"), F.col("tld_p"))).alias("domain_p"))
         priors = hosts.join(domains, "domain").select("__host", "counts", "domain_p")
         n_hosts = hosts.count()

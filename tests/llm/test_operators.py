@@ -315,6 +315,23 @@ def test_language(spark):
     assert model.log_likelihood("qqq www zzz xxx jjj kkk vvv")[1] < 0 < model.log_likelihood(lang_text(rng, "xx", 9))[1]
 
 
+def test_every_language_is_known(spark, monkeypatch):
+    """205 languages, the last five of one text each; scored as a full matrix would."""
+    rng = random.Random(4)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(205)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(lang for k, lang in enumerate(words) for _ in range(2 if k < 200 else 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = language.train(docs)
+    assert model.languages == sorted(words) and model.sparse is not None
+    monkeypatch.setattr(language, "DENSE", 300)
+    full = language.train(docs)
+    for _, text, lang in rows[::7] + rows[-5:]:
+        a, b = model.log_likelihood(text), full.log_likelihood(text)
+        assert np.allclose(a[0], b[0]) and abs(a[1] - b[1]) < 1e-9 and a[2] == b[2]
+    got = language.identify(docs.withColumn("host", F.lit("a.example.org")), model, ["doc_id"], "text", declared="lang", host="host").collect()
+    assert {r.doc_id: r.lang for r in got} == {i: lang for i, _, lang in rows}
+
+
 def test_visible_text():
     assert language.visible_text("<style>a</style>x<b>y</b>&amp;<!-- z --><SCRIPT>q</SCRIPT >").split() == ["x", "y", "&"]
     assert language.visible_text(None) == ""
