@@ -1,24 +1,26 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the first 4 and 5 letters of longer words, so that a root with unseen endings still counts.
-The terms that enter the vectors are those that go with the label among the labelled examples (chi-square of the
-2x2 table); their document frequency is counted over all documents. One more term of small constant weight is in
-every vector, so texts without any such term are near to the examples without any.
+Every word of a text is a term. Its weight is (1 + log tf) * idf, times FLOOR for words that don't go with the label;
+a word goes with it if its chi-square of the 2x2 table over the examples is `least_chi2` or more. First 4 and 5 letters
+that go with the label are terms too, so that a root with unseen endings still counts. Document frequencies are
+counted over all documents, for the terms that examples have; a word that no example has weighs as one that no
+document has, and only lengthens the text's vector.
 
 The examples (a sample of the labelled rows, at most about `max_examples`, by a hash of the id) are sorted so that
-like vectors stand together, and cut into blocks. For each term the index has its postings and, for each block, the
-greatest weight there. A query adds these up to a bound for each block, scores blocks in the order of their bounds,
-and stops once no block can hold one of its k nearest: the result is that of scoring every example. Neighbours
-vote with 1 / (squared distance + smoothing); votes are calibrated on examples that are left out one at a time.
+like texts stand together, and cut into blocks. A query adds up the postings of its rarer terms; for its frequent ones
+it adds up the greatest weights in each block, and takes the product of lengths where that is less, so each example has
+an upper bound. Examples are scored whole in the order of their bounds, until no bound reaches the k-th best: the
+result is that of scoring every example. Neighbours vote with 1 / (squared distance + smoothing); votes are calibrated on examples that are left out one at a time,
+together with their near copies.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,123 +28,184 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy_batches
+from .common import maybe_broadcast, table, tidy_batches
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
-#: Weight of the term that all vectors have; votes' smoothing; examples in a block; words that a worker keeps.
-COMMON, SMOOTHING, BLOCK, CACHE = 1.0, 0.05, 64, 300_000
-
-
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
+#: Weight of terms that don't go with the label; votes' smoothing; examples in a block; words and results that a worker keeps.
+FLOOR, SMOOTHING, BLOCK, CACHE, MEMO = 0.1, 0.05, 64, 100_000, 10_000
+#: Share of the examples from which a term is frequent.
+FREQUENT = 0.2
+#: Least hashes of three words in a row by which examples are told to be near copies.
+SIGNATURE = 4
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def beginnings(word: str) -> list[str]:
+    """The first letters of a longer word; no word begins with ^."""
+    return ["^" + word[:n] for n in PREFIXES if len(word) > n]
+
+
+def signature(words: list[str]) -> tuple[int, ...]:
+    """SIGNATURE least hashes of all three words in a row (of fewer, of all); equal for near copies mostly."""
+    if not words:
+        return ()
+    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), np.uint64)
+    return tuple(int((h * np.uint64(m) ^ (h >> np.uint64(m % 23 + 7))).min()) for m in range(0x9E3779B1, 0x9E3779B1 + 2 * SIGNATURE, 2))
+
+
 class Vocabulary:
-    """Counts the known terms of a text."""
+    """Numbers and weights of a text's terms."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], weights: np.ndarray, unknown: float) -> None:
+        """weights: idf, times FLOOR where that applies, of each term; unknown: that of words that aren't among them."""
         self.number = {t: i for i, t in enumerate(terms)}
+        self.heads = [(n, heads) for n in PREFIXES if (heads := {t[1:]: i for i, t in enumerate(terms) if t[0] == "^" and len(t) == n + 1})]
+        self.weights, self.unknown = weights, unknown
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def _known(self, word: str) -> tuple[int, ...]:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        found = self.cache[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+    def numbers(self, word: str) -> tuple[int, ...]:
+        """Of the word, -1 if it isn't known, and of its beginnings."""
+        found = self.cache.get(word)
+        if found is None:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            found = (self.number.get(word, -1),)
+            for n, heads in self.heads:
+                if len(word) > n and (i := heads.get(word[:n])) is not None:
+                    found += (i,)
+            self.cache[word] = found
         return found
 
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        get = self.cache.get
-        for word in words_of(text):
-            known = get(word)
-            if known is None:
-                known = self._known(word)
-            for t in known:
-                out[t] += 1
-        return out
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of the vector of length 1; the common term has the number len(idf)."""
-    t = np.array(sorted(counts), dtype=np.int64)
-    w = np.array([1 + np.log(counts[i]) for i in t.tolist()]) * idf[t] if len(t) else np.empty(0)
-    t, w = np.append(t, len(idf)), np.append(w, COMMON)
-    return t, w / np.sqrt((w**2).sum())
+    def counts(self, words: list[str]) -> tuple[dict[int, int], float]:
+        """How often each known term is there; the squared weight of the unknown words."""
+        out: dict[int, int] = {}
+        rest, get = 0.0, self.cache.get
+        for word, n in Counter(words).items():
+            found = get(word) or self.numbers(word)
+            if found[0] >= 0:
+                out[found[0]] = n
+            else:
+                rest += 1.0 if n == 1 else (1.0 + log(n)) ** 2
+            if len(found) > 1:
+                for t in found[1:]:
+                    out[t] = out.get(t, 0) + n
+        return out, rest * self.unknown**2
+
+    def unit(self, counts: dict[int, int], rest: float) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and weights of the vector of length 1 (with the unknown words, which are left out)."""
+        t = np.fromiter(counts.keys(), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(t)
+        t = t[order]
+        w = (1.0 + np.log(n[order])) * self.weights[t]
+        length = np.sqrt((w**2).sum() + rest)
+        return t, w / length if length > 0 else w
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for `lengths[0]` places, then from starts[1], and so on."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples by position; for each term its postings, where they begin in each of its blocks, and the blocks' greatest weights."""
+    """Examples by position. Postings of each term by position; for frequent terms the greatest weight in each block,
+    and what each example has of them."""
 
     ids: np.ndarray
     labels: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    n_blocks: int
+    #: the same number for near copies
+    family: np.ndarray
+    #: postings of term t: rows and weights from starts[t] to starts[t + 1]
+    starts: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+    #: the number of each frequent term, else -1; their greatest weights by block
+    frequent: np.ndarray
+    most: np.ndarray
+    #: of each example, the frequent terms and their weights from own[i] to own[i + 1]
+    own: np.ndarray
+    own_terms: np.ndarray
+    own_weights: np.ndarray
+    #: the length of these weights
+    length: np.ndarray
 
     @staticmethod
-    def of(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
-        """examples: id, label, terms, weights."""
-        if not examples:
-            return BlockMaxIndex(np.empty(0, np.int64), np.empty(0, np.int64), {}, 0)
-        examples = sorted(examples, key=lambda e: (int(e[2][np.argmax(e[3])]), e[2].tolist(), e[3].tolist(), e[0]))
-        rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-        terms = np.concatenate([e[2] for e in examples])
-        weights = np.concatenate([e[3] for e in examples])
+    def of(examples: list[tuple[int, int, int, np.ndarray, np.ndarray]], n_terms: int, share: float = FREQUENT) -> BlockMaxIndex:
+        """examples: id, label, family, terms, weights."""
+        held = np.zeros(n_terms, np.int64)
+        for e in examples:
+            held[e[3]] += 1
+        # texts of one kind have the same frequent terms: in order of these, the most frequent first
+        rank = np.empty(n_terms, np.int64)
+        rank[np.lexsort((np.arange(n_terms), -held))] = np.arange(n_terms)
+        examples = sorted(examples, key=lambda e: (np.sort(rank[e[3]])[:8].tolist(), e[0]))
+        n = len(examples)
+        lengths = np.array([len(e[3]) for e in examples], np.int64)
+        terms = np.concatenate([np.empty(0, np.int64), *(e[3] for e in examples)])
+        weights = np.concatenate([np.empty(0), *(e[4] for e in examples)])
+        rows = np.repeat(np.arange(n), lengths)
         order = np.argsort(terms, kind="stable")
-        postings = {}
-        held, first = np.unique(terms[order], return_index=True)
-        for t, lo, hi in zip(held.tolist(), first, np.append(first[1:], len(order)), strict=True):
-            at, w = rows[order[lo:hi]], weights[order[lo:hi]]
-            blocks, starts = np.unique(at // BLOCK, return_index=True)
-            postings[t] = (at, w, blocks, np.append(starts, len(at)), np.maximum.reduceat(w, starts))
-        return BlockMaxIndex(np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=np.int64), postings, -(-len(examples) // BLOCK))
+        starts = np.append(0, np.cumsum(held))
+        is_frequent = held > max(share * n, 1)
+        frequent = np.where(is_frequent, np.cumsum(is_frequent) - 1, -1).astype(np.int32)
+        mine = is_frequent[terms]
+        most = np.zeros((int(is_frequent.sum()), -(-n // BLOCK)))
+        np.maximum.at(most, (frequent[terms[mine]], rows[mine] // BLOCK), weights[mine])
+        own = np.append(0, np.cumsum(np.bincount(rows[mine], minlength=n)))
+        number = lambda at: np.array([e[at] for e in examples], np.int64)
+        return BlockMaxIndex(number(0), number(1), number(2), starts, rows[order].astype(np.int32), weights[order], frequent, most, own, frequent[terms[mine]], weights[mine], np.sqrt(np.bincount(rows[mine], weights[mine] ** 2, n)))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k greatest cosines with their positions, ties to the smaller position, best first. without: a position that takes no part."""
-        bound = np.zeros(self.n_blocks)
-        lists = []
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            if (found := self.postings.get(t)) is not None:
-                bound[found[2]] += w * found[4]
-                lists.append((w, found))
+        """The k greatest cosines with their positions, ties to the smaller position, best first; fewer, if fewer share a term. without: a family that takes no part."""
+        n = len(self.ids)
+        if not n:
+            return []
+        at = self.frequent[terms]
+        rare = at < 0
+        first = self.starts[terms]
+        held = self.starts[terms + 1] - first
+        slices = [slice(*x) for x in zip(first[rare].tolist(), (first + held)[rare].tolist(), strict=True)]
+        rows = np.concatenate([self.rows[:0], *(self.rows[x] for x in slices)])
+        partial = np.bincount(rows, np.concatenate([self.weights[:0], *(self.weights[x] for x in slices)]) * np.repeat(weights[rare], held[rare]), n)
+        at, w = at[~rare], weights[~rare]
+        bound = partial + np.minimum(np.repeat(w @ self.most[at], BLOCK)[:n], np.sqrt((w**2).sum()) * self.length)
+        if without >= 0:
+            bound[self.family == without] = -1.0
         # cosines are compared to ten digits, bounds with a little more, so that rounding hides no neighbour
-        bound = np.round(bound + 1e-12, 10)
-        best: list[tuple[float, int]] = []  # (cosine, -position), the worst first
-        for b in np.lexsort((np.arange(self.n_blocks), -bound)).tolist():
-            if len(best) == k and bound[b] <= best[0][0]:
-                if bound[b] < best[0][0]:
-                    break
-                if b * BLOCK > -best[0][1]:  # could only tie, at a greater position
-                    continue
-            scores = np.zeros(BLOCK)
-            for w, (at, weight, blocks, starts, _) in lists:
-                i = int(np.searchsorted(blocks, b))
-                if i < len(blocks) and blocks[i] == b:
-                    mine = slice(starts[i], starts[i + 1])
-                    scores[at[mine] - b * BLOCK] += w * weight[mine]
-            n = min(BLOCK, len(self.ids) - b * BLOCK)
-            scores = np.round(scores, 10)
-            top = np.flatnonzero(scores[:n] >= (best[0][0] if len(best) == k else -1))
-            for i in top.tolist():
-                at = b * BLOCK + i
-                if at == without:
-                    continue
-                entry = (float(scores[i]), -at)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(c, -p) for c, p in sorted(best, reverse=True)]
+        bound += 1e-9
+        whole = np.zeros(len(self.most))
+        whole[at] = w
+        scored, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
+        step, todo = 2 * k, np.flatnonzero(bound >= 0)
+        while len(todo):
+            if len(todo) > step:
+                chosen = np.argpartition(-bound[todo], step)
+                now, todo = todo[chosen[:step]], todo[chosen[step:]]
+            else:
+                now, todo = todo, todo[:0]
+            n_own = self.own[now + 1] - self.own[now]
+            places = _ranges(self.own[now], n_own)
+            which = np.repeat(np.arange(len(now)), n_own)
+            found = np.round(partial[now] + np.bincount(which, whole[self.own_terms[places]] * self.own_weights[places], len(now)), 10)
+            scored, cosines = np.append(scored, now), np.append(cosines, found)
+            if len(scored) >= k:
+                top = np.lexsort((scored, -cosines))[:k]
+                scored, cosines = scored[top], cosines[top]
+                least = cosines[-1]
+                todo = todo[bound[todo] >= least]
+            step = min(4 * step, 1024)
+        top = np.lexsort((scored, -cosines))[:k]
+        return [(float(c), int(p)) for c, p in zip(cosines[top], scored[top], strict=True) if c > 0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of the votes for label 1, each with 1 / (squared distance + SMOOTHING)."""
+        """Share of the votes for label 1, each with 1 / (squared distance + SMOOTHING); without neighbours that of all examples."""
         if not near:
-            return 0.5
+            return float(self.labels.mean()) if len(self.labels) else 0.5
         w = 1.0 / (2.0 - 2.0 * np.minimum(1.0, [c for c, _ in near]) + SMOOTHING)
         return float((w * self.labels[[p for _, p in near]]).sum() / w.sum())
 
@@ -176,7 +239,11 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 @dataclass
 class Model:
     terms: list[str]
-    idf: np.ndarray
+    #: weights of the terms and of words that aren't among them
+    weights: np.ndarray
+    unknown: float
+    #: whether a term goes with the label
+    strong: np.ndarray
     index: BlockMaxIndex
     slope: float
     offset: float
@@ -186,130 +253,133 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * _logit(np.array(vote)) + self.offset, -30, 30))))
 
 
-def _distinct(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Of labelled documents with the same least hash of three words in a row, which near copies mostly have, the one of the least id: copies are no evidence of their own."""
+def _examples(docs: DataFrame, labelled: DataFrame, n: int) -> list[tuple[int, int, int, dict[str, int]]]:
+    """Id, label, family of near copies and word counts of each labelled document, by id; of repeated ids one. Bounded by the number of examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = []
+            words, counts, signed = [], [], []
             for text in batch.column(1).to_pylist():
-                w = words_of(text)
-                least.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.int64()), batch.column(2)], names=["doc_id", "least", "label"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").mapInArrow(tidy_batches(run), "doc_id long, least long, label int")
-    kept = rows.groupBy("least").agg(F.min(F.struct("doc_id", "label")).alias("one")).select("one.*")
-    # bounded by the number of examples
-    return docs.sparkSession.createDataFrame(kept.collect(), "doc_id long, label int")
-
-
-def _associations(docs: DataFrame, labelled: DataFrame, max_terms: int, least: float) -> list[str]:
-    """The terms that go with the label, strongest first: at most `max_terms` with a chi-square of `least` or more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = (Counter(), Counter())
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[label].update({t for w in set(words_of(text)) for t in terms_of(w)})
-            terms = list(n[0].keys() | n[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[0][t] for t in terms], pa.int64()), pa.array([n[1][t] for t in terms], pa.int64())], names=["term", "n0", "n1"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select("text", "label")
-    n0, n1 = (labelled.where(F.col("label") == y).count() for y in (0, 1))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    below = (a + b) * (c + d) * F.lit(float(n0) * float(n1))
-    strength = F.when(below > 0, F.pow(F.greatest(F.abs(a * d - b * c) - (n0 + n1) / 2, F.lit(0.0)), 2) * (n0 + n1) / below).otherwise(0.0)
-    found = rows.mapInArrow(tidy_batches(count), "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
-    return [r.term for r in found.withColumn("s", strength).where(F.col("s") >= least).orderBy(F.desc("s"), "term").limit(max_terms).select("term").collect()]
-
-
-def _count_terms(docs: DataFrame, terms: list[str], labelled: dict[int, int]) -> tuple[int, np.ndarray, list[tuple[int, int, dict[int, int]]]]:
-    """Over all documents: how many there are and how many have each term. And the term counts of the labelled ones."""
-    known = docs.sparkSession.sparkContext.broadcast((terms, labelled))
+                mine = words_of(text)
+                found = Counter(mine)
+                words.append(list(found))
+                counts.append(list(found.values()))
+                signed.append(repr(signature(mine)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "label", "signed", "words", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(labelled, 16 * n), "doc_id").select("doc_id", "text", "label")
+    found: dict[int, tuple] = {}
+    families: dict[str, int] = {}
+    for r in rows.mapInArrow(tidy_batches(run), "doc_id long, label int, signed string, words array<string>, counts array<int>").toLocalIterator():
+        mine = (r.label, r.signed, dict(zip(r.words, r.counts, strict=True)))
+        if r.doc_id not in found or sorted(mine[2].items()) < sorted(found[r.doc_id][2].items()):
+            found[r.doc_id] = mine
+    return [(i, y, families.setdefault(s, len(families)), c) for i, (y, s, c) in sorted(found.items())]
+
+
+def _associated(examples: list[tuple[int, int, int, dict[str, int]]], least: float) -> set[str]:
+    """Words and beginnings that go with the label, by chi-square. Near copies of one label are no evidence of their own, and count once."""
+    held = (Counter(), Counter())
+    total = [0, 0]
+    for _, y in {(f, y) for _, y, f, _ in examples}:
+        total[y] += 1
+    seen = set()
+    for _, y, family, counts in examples:
+        if (family, y) not in seen:
+            seen.add((family, y))
+            held[y].update({t for w in counts for t in (w, *beginnings(w))})
+    n0, n1 = total
+    out = set()
+    for t in held[1].keys() | held[0].keys():
+        a, b = held[1][t], held[0][t]
+        below = (a + b) * (n1 - a + n0 - b) * n0 * n1
+        if a + b >= 3 and below > 0 and max(abs(a * (n0 - b) - b * (n1 - a)) - (n0 + n1) / 2, 0.0) ** 2 * (n0 + n1) / below >= least:
+            out.add(t)
+    return out
+
+
+def _document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """Over all documents: how many there are, and how many have each of the terms."""
+    known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, labels = Vocabulary(known.value[0]), known.value[1]
-        total, df, ids, found = 0, np.zeros(len(vocabulary.number), dtype=np.int64), [], []
+        vocabulary = Vocabulary(known.value, np.empty(0), 0.0)
+        total, df = 0, np.zeros(len(vocabulary.number) + 1, np.int64)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = vocabulary.counts(text)
+            for text in batch.column(0).to_pylist():
                 total += 1
-                for t in counts:
-                    df[t] += 1
-                if doc_id in labels:
-                    ids.append(doc_id)
-                    found.append([x for tc in sorted(counts.items()) for x in tc])
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * (len(at) + 1) + [1] * len(ids)), pa.array([-1, *at.tolist(), *ids], pa.int64()), pa.array([total, *df[at].tolist(), *[0] * len(ids)], pa.int64()), pa.array([[]] * (len(at) + 1) + found, pa.list_(pa.int64()))], names=["kind", "key", "n", "counts"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(tidy_batches(count), "kind long, key long, n long, counts array<long>")
-    # one pass: a group for each term, and one for each labelled document (of repeated ids the first in order)
-    total, df, examples = 0, np.zeros(len(terms), dtype=np.int64), []
-    for r in rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("counts").alias("counts")).collect():
-        if r.kind == 1:
-            examples.append((r.key, labelled[r.key], dict(zip(r.counts[::2], r.counts[1::2], strict=True))))
-        elif r.key < 0:
+                if mine := {t for w in set(words_of(text)) for t in vocabulary.numbers(w)}:
+                    df[np.fromiter(mine, np.int64, len(mine))] += 1
+        at = np.flatnonzero(df[:-1])  # the last place is that of unknown words
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(total, df[at]))], names=["term", "n"])
+
+    rows = docs.select("text").mapInArrow(tidy_batches(count), "term long, n long")
+    total, df = 0, np.zeros(len(terms))
+    for r in rows.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r.term < 0:
             total = r.n
         else:
-            df[r.key] = r.n
-    return total, df, sorted(examples, key=lambda e: e[0])
+            df[r.term] = r.n
+    return total, df
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 12_000, max_terms: int = 8_192, least_chi2: float = 24.0, k: int = 15, max_calibration: int = 3_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 8_000, least_chi2: float = 24.0, k: int = 15, max_calibration: int = 3_000) -> Model:
     """Learn from `labels` (doc_id, label 0 or 1) on `docs` (doc_id, text).
 
     The examples are a sample of the labelled rows of about `max_examples` at most, by a hash of doc_id; a document
-    with both labels counts as 1; null ids and labels are left out. Document frequencies come from all of `docs`.
-    Without examples all scores are 0.5 or below.
+    with both labels counts as 1; null ids and labels are left out; of repeated ids with different texts one counts.
+    All words of the examples are in the index, at any `least_chi2`. Votes are calibrated on every n-th example, at most
+    `max_calibration`. Document frequencies come from all of `docs`. Without examples, or with empty tables, all scores are 0.5 or below.
     """
-    rows = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    n = rows.count()
-    share = min(1.0, max_examples / max(1, n))
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, max_examples / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    labelled = {r.doc_id: r.label for r in sample.collect()}
-    spark = docs.sparkSession
-    bounded = spark.createDataFrame(list(labelled.items()), "doc_id long, label int")
-    terms = _associations(docs, _distinct(docs, bounded), max_terms, least_chi2) if labelled else []
-    total, df, examples = _count_terms(docs, terms, labelled)
+    examples = _examples(docs, sample, int(1.5 * max_examples))
+    strong = _associated(examples, least_chi2)
+    terms = sorted({w for *_, c in examples for w in c} | {t for t in strong if t[0] == "^"})
+    total, df = _document_frequencies(docs, terms)
     idf = np.log((total + 1.0) / (df + 1.0)) + 1.0
-    index = BlockMaxIndex.of([(i, y, *unit(c, idf)) for i, y, c in examples])
-    position = {int(i): p for p, i in enumerate(index.ids)}
-    some = examples[:: max(1, -(-len(examples) // max_calibration))]
-    memo: dict[tuple, float] = {}
-    votes = []
-    for i, _, c in some:
-        # without any term all examples are alike, and leaving one out changes nothing that matters
-        key = (tuple(sorted(c.items())), position[i] if c else -1)
-        if key not in memo:
-            memo[key] = index.vote(index.nearest(*unit(c, idf), k, key[1]))
-        votes.append(memo[key])
-    slope, offset = calibrate(np.array(votes), np.array([y for _, y, _ in some], dtype=float)) if some else (1.0, -0.1)
-    return Model(terms, idf, index, slope, offset, k)
+    is_strong = np.array([t in strong for t in terms], dtype=bool)
+    weights = idf * np.where(is_strong, 1.0, FLOOR)
+    vocabulary = Vocabulary(terms, weights, FLOOR * (np.log(total + 1.0) + 1.0))
+    counted = []
+    for _, _, _, words in examples:
+        mine: Counter = Counter()
+        for word, n in words.items():
+            for t in vocabulary.numbers(word):
+                mine[t] += n
+        counted.append(mine)
+    index = BlockMaxIndex.of([(i, y, f, *vocabulary.unit(c, 0.0)) for (i, y, f, _), c in zip(examples, counted, strict=True)], len(terms))
+    some = range(0, len(examples), max(1, -(-len(examples) // max_calibration)))
+    votes = [index.vote(index.nearest(*vocabulary.unit(counted[i], 0.0), k, examples[i][2])) for i in some]
+    slope, offset = calibrate(np.array(votes), np.array([examples[i][1] for i in some], dtype=float)) if examples else (1.0, -0.1)
+    return Model(terms, weights, vocabulary.unknown, is_strong, index, slope, offset, k)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` (doc_id, text) with score (0 to 1), predicted (1 if score >= 0.5), the nearest examples' ids,
-    cosines and labels, and the text's own terms that are in the vectors, heaviest first (at most 8 reported).
+    cosines and labels, and the text's own terms that go with the label, heaviest first (at most 8 reported).
 
-    Every row has its score; null and empty texts have that of a text without any term. Rows stay where they are.
+    Every row has its score, repeated rows the same; null and empty texts and those that share no word with any example
+    have no neighbours, and the score of the examples' share of label 1. Rows stay where they are; more columns are not looked at.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        vocabulary, memo = Vocabulary(m.terms), {}
+        vocabulary, memo = Vocabulary(m.terms, m.weights, m.unknown), {}
         for batch in batches:
             scores, near_ids, cosines, labels, evidence = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                counts = vocabulary.counts(text)
-                key = tuple(sorted(counts.items()))
+                key = xxhash.xxh3_128_digest(text or "")
                 if key not in memo:
-                    if len(memo) >= 20_000:
+                    if len(memo) >= MEMO:
                         memo.clear()
-                    t, w = unit(counts, m.idf)
+                    counts, rest = vocabulary.counts(words_of(text))
+                    t, w = vocabulary.unit(counts, rest)
                     near = m.index.nearest(t, w, m.k)
-                    heavy = [m.terms[i] for _, i in sorted(zip((-w).tolist(), t.tolist(), strict=True)) if i < len(m.idf)][:8]
+                    strong = np.flatnonzero(m.strong[t])
+                    heavy = [m.terms[t[i]] for i in strong[np.argsort(-w[strong], kind="stable")][:8]]
                     at = [p for _, p in near]
                     memo[key] = (m.score(m.index.vote(near)), m.index.ids[at].tolist(), [c for c, _ in near], m.index.labels[at].tolist(), heavy)
                 for column, value in zip((scores, near_ids, cosines, labels, evidence), memo[key], strict=True):
@@ -320,8 +390,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id) -> F.Column:
-    """Rows that no label is learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Rows that no label is learned from; a null id is none of them, and has no label either."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,32 +245,77 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held_col)
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("share", [0.0, 0.05, 2.0])
+def test_block_max_search_is_exact(share):
     rng = np.random.default_rng(8)
-    idf = rng.uniform(1, 6, 200)
-    make = lambda: toxicity.unit({int(t): int(rng.integers(1, 4)) for t in rng.integers(0, 200, rng.integers(0, 8))}, idf)
-    examples = [(i, int(rng.integers(0, 2)), *make()) for i in range(700)]
-    index = toxicity.BlockMaxIndex.of(examples)
-    dense = np.zeros((700, 201))
-    by_id = {e[0]: e for e in examples}
+    vocabulary = toxicity.Vocabulary([f"t{i}" for i in range(200)], rng.uniform(1, 6, 200), 1.0)
+    common = rng.permutation(200) ** 2 / 200
+    make = lambda: vocabulary.unit({int(t): int(rng.integers(1, 4)) for t in common[rng.integers(0, 200, rng.integers(0, 8))]}, float(rng.integers(0, 3)))
+    examples = [(i, int(rng.integers(0, 2)), i // 3, *make()) for i in range(700)]
+    index = toxicity.BlockMaxIndex.of(examples, 200, share)
+    dense = np.zeros((700, 200))
     for p, i in enumerate(index.ids.tolist()):
-        dense[p, by_id[i][2]] = by_id[i][3]
-    for _ in range(60):
+        dense[p, examples[i][3]] = examples[i][4]
+    for i in range(60):
         t, w = make()
-        q = np.zeros(201)
+        q = np.zeros(200)
         q[t] = w
-        s = np.round(dense @ q, 9)
-        got = index.nearest(t, w, 15)
-        want = np.lexsort((np.arange(700), -s))[:15]
-        assert np.allclose([c for c, _ in got], s[want]) and {p for c, p in got if c > s[want[-1]] + 1e-8} == {int(p) for p in want if s[p] > s[want[-1]] + 1e-8}
+        s = np.round(dense @ q, 10)
+        if i % 2:
+            s[index.family == i] = -1
+        got = index.nearest(t, w, 15, i if i % 2 else -1)
+        want = np.array([i for i in np.lexsort((np.arange(700), -s))[:15] if s[i] > 0], int)
+        assert np.allclose([c for c, _ in got], s[want]) and (not got or {p for c, p in got if c > s[want[-1]] + 1e-8} == {int(p) for p in want if s[p] > s[want[-1]] + 1e-8})
 
 
-def test_rare_toxic_words_are_terms(spark):
-    """A word in 5 of 113 toxic and in no clean example of 1000 (chi-square 31) is a term, one in 3 (14) is not."""
+def test_rare_toxic_words_go_with_the_label(spark):
+    """A word in 5 of 113 toxic and in no clean example of 1000 (chi-square 31) does, one in 3 (14) does not; all words are terms."""
     rows = [(i, f"common word{i} " + ("rareone " if i < 5 else "") + ("raretwo" if 5 <= i < 8 else "")) for i in range(1000)]
     labels = spark.createDataFrame([(i, int(i < 113)) for i in range(1000)], "doc_id long, toxic int")
-    terms = toxicity.fit(frame(spark, rows), labels).terms
-    assert "rareone" in terms and "raretwo" not in terms
+    model = toxicity.fit(frame(spark, rows), labels)
+    assert {w for _, t in rows for w in t.split()} <= set(model.terms)
+    strong = {t for t, s in zip(model.terms, model.strong, strict=True) if s}
+    assert "rareone" in strong and "raretwo" not in strong
+
+
+def test_toxicity_against_brute_force(spark):
+    rows, labels = toxic_corpus(400, 5)
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 40, 3)] + [(2000, None), (2001, "entirely other words nowhere seen"), (2002, "nasty")]
+    known = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(list(known.items()), "doc_id long, toxic int"), max_calibration=10_000)
+    got = {r.doc_id: r for r in toxicity.classify(frame(spark, rows), model).collect()}
+
+    words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
+    heads = lambda w: ["^" + w[:n] for n in (4, 5) if len(w) > n]
+    every = {i: {t for w in ws for t in (w, *heads(w))} for i, ws in words.items()}
+    n = [sum(y == k for y in known.values()) for k in (0, 1)]
+    strong = set()
+    for t in set().union(*(every[i] for i in known)):
+        a, b = (sum(t in every[i] for i, y in known.items() if y == k) for k in (1, 0))
+        below = (a + b) * (sum(n) - a - b) * n[0] * n[1]
+        if a + b >= 3 and below and max(abs(a * (n[0] - b) - b * (n[1] - a)) - sum(n) / 2, 0) ** 2 * sum(n) / below >= 24:
+            strong.add(t)
+    assert strong and strong == {t for t, s in zip(model.terms, model.strong, strict=True) if s}
+    held = {w for i in known for w in words[i]}
+    idf = lambda t: math.log((len(rows) + 1) / (sum(t in e for e in every.values()) + 1)) + 1
+    weight = {t: idf(t) * (1 if t in strong else 0.1) for t in held | strong}
+    unknown = 0.1 * (math.log(len(rows) + 1) + 1)
+
+    def vector(i):
+        counts = Counter(words[i]) + Counter(h for w in words[i] for h in heads(w) if h in strong)
+        v = {t: (1 + math.log(c)) * weight.get(t, unknown) for t, c in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in every}
+    for i, r in got.items():
+        cosines = sorted((sum(x * vectors[j].get(t, 0.0) for t, x in vectors[i].items()) for j in known), reverse=True)[:15]
+        cosines = [c for c in cosines if c > 1e-9]
+        assert len(cosines) == len(r.near_cosines) and np.allclose(cosines, r.near_cosines, atol=1e-8)
+        near = dict(zip(r.near_ids, r.near_cosines, strict=True))
+        votes = [(1 / (2 - 2 * min(1, c) + 0.05), known[j]) for j, c in near.items()]
+        vote = sum(v * y for v, y in votes) / sum(v for v, _ in votes) if votes else sum(known.values()) / len(known)
+        assert r.near_labels == [known[j] for j in r.near_ids] and math.isclose(r.score, model.score(vote), abs_tol=1e-9)
 
 
 def test_toxicity_without_examples_or_rows(spark):
