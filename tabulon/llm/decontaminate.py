@@ -1,21 +1,22 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-`build_index` stores, for each segment (a batch of documents), postings of the test terms: the ascending word
-positions at which a term stands in the segment. Positions count on through the segment with a gap after each
-document, so no phrase goes across two documents. `search_index` answers each segment by itself: for each window of
-an item it starts with the rarest term's list, subtracts the term's place in the window, and intersects with the
-offset-adjusted lists of the other terms, rarest first, until nothing is left or all terms agree. Proximity search
-takes the rarest term's positions and asks of every other term of the window whether it stands close enough.
-
-A segment is as large as an Arrow batch, so memory is bounded; no shuffle is needed, as a document lies in one
-segment. The benchmark is taken in blocks of bounded size; a block is broadcast, and with several blocks the
-spans of a document are merged by its row number.
+`build_index` makes the index of the training texts: for each segment (documents of SEGMENT words or a little more), its
+words, and for each word the ascending positions at which it stands. Positions count on through the segment with a gap
+after each document, so no phrase goes across two documents. The index is stored, knows nothing of the benchmark, and
+its rows have names of their own, so a document is told by its place and not by its id. `search_index` answers each
+segment by itself: a window of an item with a word that the segment hasn't is done with; of the others it starts with
+the rarest term's list, subtracts the term's place in the window, and intersects with the offset-adjusted lists of the
+other terms, rarest first, until nothing is left or all terms agree. Proximity search takes the rarest term's
+positions and asks of every other term of the window whether it stands close enough.
+
+No shuffle is needed, as a document lies in one segment. The benchmark is taken in blocks of bounded size; a block is
+broadcast and meets the stored index, and with several blocks the spans of a document are merged by its row.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy_batches
+from .common import table, tidy_batches, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes of item texts in one broadcast block.
+#: Bytes of item texts in one broadcast block, about.
 BLOCK_BYTES = 8 << 20
-#: Free positions between the documents of a segment.
-GAP = 1 << 12
-INDEX = "segment binary, doc_ids binary, doc_nulls binary, n_words binary, starts binary, terms binary, lists binary, positions binary"
+#: Words from which a segment is full; free positions between its documents.
+SEGMENT, GAP = 200_000, 1 << 12
+INDEX = "segment string, doc_ids binary, doc_nulls binary, n_words binary, starts binary, words binary, lists binary, steps binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,8 +49,8 @@ class Phrases:
     windows: list[tuple[int, ...]]
     #: for each window, the items it is in
     items: list[list[int]]
-    #: item numbers to ids, as strings
-    names: list[str]
+    #: item numbers to ids, as strings; an item without an id has none
+    names: list[str | None]
 
     @staticmethod
     def of(items: list[tuple], size: int) -> Phrases:
@@ -61,79 +62,99 @@ class Phrases:
             if not words:
                 continue
             at = len(names)
-            names.append(str(item_id))
+            names.append(None if item_id is None else str(item_id))
             for i in range(max(1, len(words) - size + 1)):
                 mine = windows.setdefault(tuple(words[i : i + size]), [])
                 if not mine or mine[-1] != at:
                     mine.append(at)
         return Phrases(terms, list(windows), list(windows.values()), names)
 
-
-def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """Positional postings of `terms` over `docs` (doc_id, text): a row for each segment."""
-    known = docs.sparkSession.sparkContext.broadcast(terms)
+    def matrix(self) -> np.ndarray:
+        """A row of term numbers for each window; shorter ones repeat their first term."""
+        width = max(map(len, self.windows), default=1)
+        return np.array([w + w[:1] * (width - len(w)) for w in self.windows], np.int64).reshape(-1, width)
+
+
+class Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Positional postings of all words of `docs` (doc_id, text): a row for each segment. To be written before it is searched, as names are made up here."""
+
+    def segment(ids: list[int | None], texts: list[list[bytes]]) -> pa.RecordBatch:
+        numbers = Numbers()
+        n_words = np.array([len(t) for t in texts], np.int64)
+        starts = np.append(0, np.cumsum(n_words + GAP))[:-1]
+        code = np.fromiter((numbers[w] for t in texts for w in t), np.int32, n_words.sum())
+        place = np.arange(len(code)) + np.repeat(np.arange(len(texts)) * GAP, n_words)
+        order = np.argsort(code, kind="stable")
+        lists = np.append(0, np.cumsum(np.bincount(code, minlength=len(numbers)))).astype(np.uint32)
+        # a list is kept as steps, the first from 0
+        steps = np.diff(place[order], prepend=0)
+        steps[lists[:-1]] = place[order][lists[:-1]]
+        row = [
+            np.array([i or 0 for i in ids], np.int64).tobytes(),
+            np.array([i is None for i in ids]).tobytes(),
+            n_words.tobytes(),
+            starts.tobytes(),
+            b" ".join(numbers),
+            lists.tobytes(),
+            steps.astype(np.uint32).tobytes(),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in INDEX.split(", ")])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        ids, texts, n = [], [], 0
         for batch in batches:
-            n = batch.num_rows
-            codes, n_words, starts, at = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-            places = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                c = np.array([get(w, -1) for w in words], dtype=np.int32)
-                hit = np.flatnonzero(c >= 0)
-                codes.append(c[hit])
-                places.append(hit + at)
-                n_words[i], starts[i] = len(words), at
-                at += len(words) + GAP
-            code, place = (np.concatenate(codes), np.concatenate(places)) if n else (np.empty(0, np.int32), np.empty(0, np.int64))
-            order = np.argsort(code, kind="stable")
-            held, first = np.unique(code[order], return_index=True)
-            ids = batch.column(0)
-            row = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(ids.is_null().to_pylist(), dtype=bool), n_words, starts, held.astype(np.int32), np.append(first, len(order)).astype(np.int64), place[order].astype(np.int64)]
-            name = hashlib.blake2b(row[0].tobytes() + starts.tobytes(), digest_size=8).digest()
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in [name, *(a.tobytes() for a in row)]], names=[c.split()[0] for c in INDEX.split(", ")])
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                texts.append(words_of(text.as_py()))
+                n += len(texts[-1]) + 1
+                if n >= SEGMENT:
+                    yield segment(ids, texts)
+                    ids, texts, n = [], [], 0
+        if ids:
+            yield segment(ids, texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(build), INDEX)
 
 
 class Segment:
-    """One row of the index, opened."""
+    """One row of the index, opened for the terms that are asked for."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, terms: dict[bytes, int]) -> None:
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
         self.nulls = np.frombuffer(row["doc_nulls"], bool)
         self.n_words = np.frombuffer(row["n_words"], np.int64)
         self.starts = np.frombuffer(row["starts"], np.int64)
-        terms, lists, positions = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["lists"], np.int64), np.frombuffer(row["positions"], np.int64)
-        self.postings = {int(t): positions[lists[i] : lists[i + 1]] for i, t in enumerate(terms)}
+        lists, steps = np.frombuffer(row["lists"], np.uint32), np.frombuffer(row["steps"], np.uint32)
+        self.postings = {t: np.cumsum(steps[lists[i] : lists[i + 1]], dtype=np.int64) for i, w in enumerate(row["words"].split(b" ")) if (t := terms.get(w)) is not None}
+        self.has = np.zeros(len(terms), bool)
+        self.has[list(self.postings)] = True
 
     def phrase(self, window: tuple[int, ...]) -> np.ndarray:
         """Starts of all occurrences of the window."""
-        lists = []
-        for offset, term in enumerate(window):
-            if (found := self.postings.get(term)) is None:
-                return np.empty(0, np.int64)
-            lists.append((len(found), offset, found))
-        lists.sort(key=lambda x: x[0])
+        if any(t not in self.postings for t in window):
+            return np.empty(0, np.int64)
+        lists = sorted(((len(self.postings[t]), offset, t) for offset, t in enumerate(window)))
         _, offset, rarest = lists[0]
-        starts = rarest - offset
-        for _, offset, found in lists[1:]:
+        starts = self.postings[rarest] - offset
+        for _, offset, term in lists[1:]:
             if not len(starts):
                 break
+            found = self.postings[term]
             at = np.searchsorted(found, starts + offset)
             starts = starts[found[np.minimum(at, len(found) - 1)] == starts + offset]
         return starts
 
     def proximity(self, window: tuple[int, ...], slack: int) -> np.ndarray:
         """Positions of the window's rarest term that have every other distinct term of it within len(window) - 1 + slack words on either side."""
-        lists = []
-        for term in set(window):
-            if (found := self.postings.get(term)) is None:
-                return np.empty(0, np.int64)
-            lists.append(found)
-        lists.sort(key=len)
+        if any(t not in self.postings for t in window):
+            return np.empty(0, np.int64)
+        lists = sorted((self.postings[t] for t in set(window)), key=len)
         at, reach = lists[0], len(window) - 1 + slack
         for found in lists[1:]:
             at = at[np.searchsorted(found, at - reach) < np.searchsorted(found, at + reach, side="right")]
@@ -143,22 +164,39 @@ class Segment:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
+def _merged_spans(spans: list[tuple[int, int]]) -> list[int]:
+    """Intervals [from, to), those that meet made one, flat."""
+    flat: list[int] = []
+    for a, b in sorted(spans):
+        if flat and a <= flat[-1]:
+            flat[-1] = max(flat[-1], b)
+        else:
+            flat += [a, b]
+    return flat
+
+
+FOUND = "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>"
+
+
 def search_index(index: DataFrame, phrases: Phrases, slack: int | None = None) -> DataFrame:
     """A row for each document of the index: row (its segment and number there), doc_id, n_words, spans (merged
     word intervals [from, to) of exact hits, flat), items (ids with an exact window), near_items (ids that have a
-    window within `slack`, null without slack)."""
+    window within `slack`, null without slack). slack is less than GAP less a window."""
     wanted = index.sparkSession.sparkContext.broadcast(phrases)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = wanted.value
+        matrix = p.matrix()
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row)
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                segment = Segment(row, p.terms)
                 n = len(segment.doc_ids)
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
                 items: list[set[int]] = [set() for _ in range(n)]
                 near: list[set[int]] = [set() for _ in range(n)]
-                for window, of in zip(p.windows, p.items, strict=True):
+                for i in np.flatnonzero(segment.has[matrix].all(axis=1)).tolist() if len(p.terms) else []:
+                    window, of = p.windows[i], p.items[i]
                     starts = segment.phrase(window)
                     for start, doc in zip(starts.tolist(), segment.doc_of(starts).tolist(), strict=True):
                         begin = start - int(segment.starts[doc])
@@ -167,49 +205,34 @@ def search_index(index: DataFrame, phrases: Phrases, slack: int | None = None) -
                     if slack is not None:
                         for doc in np.unique(segment.doc_of(segment.proximity(window, slack))).tolist():
                             near[doc].update(of)
-                merged = []
-                for mine in spans:
-                    flat: list[int] = []
-                    for a, b in sorted(mine):
-                        if flat and a <= flat[-1]:
-                            flat[-1] = max(flat[-1], b)
-                        else:
-                            flat += [a, b]
-                    merged.append(flat)
+                named = lambda found: [p.names[i] for i in sorted(found) if p.names[i] is not None]
                 text = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{row['segment'].hex()}-{i}" for i in range(n)]),
+                        pa.array([f"{row['segment']}-{i}" for i in range(n)]),
                         pa.array(segment.doc_ids, mask=segment.nulls),
                         pa.array(segment.n_words),
-                        pa.array(merged, pa.list_(pa.int64())),
-                        pa.array([[p.names[i] for i in x] for x in items], text),
-                        pa.array([None if slack is None else [p.names[i] for i in x] for x in near], text),
+                        pa.array([_merged_spans(x) for x in spans], pa.list_(pa.int64())),
+                        pa.array([named(x) for x in items], text),
+                        pa.array([None if slack is None else named(x) for x in near], text),
                     ],
-                    names=["row", "doc_id", "n_words", "spans", "items", "near_items"],
+                    names=[c.split()[0] for c in FOUND.split(", ")],
                 )
 
-    return index.mapInArrow(tidy_batches(search), "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>")
+    return index.mapInArrow(tidy_batches(search), FOUND)
 
 
 def _merged(parts: DataFrame) -> DataFrame:
     """Spans and items of the same document from several blocks of items, joined; a row has one value for each block."""
 
-    def join_spans(batches):
+    def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                flat: list[int] = []
-                for a, b in sorted((s[i], s[i + 1]) for s in r["spans"] for i in range(0, len(s), 2)):
-                    if flat and a <= flat[-1]:
-                        flat[-1] = max(flat[-1], b)
-                    else:
-                        flat += [a, b]
-                r["spans"] = flat
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([batch.schema.field(0), batch.schema.field(1), batch.schema.field(2), pa.field("spans", pa.list_(pa.int64())), batch.schema.field(4), batch.schema.field(5)]))
+            flat = [_merged_spans([(s[i], s[i + 1]) for s in every for i in range(0, len(s), 2)]) for every in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(flat, pa.list_(pa.int64())), *batch.columns[4:]], names=batch.schema.names)
 
-    grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"))
-    return grouped.mapInArrow(tidy_batches(join_spans), "row string, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), every("items"), F.when(F.count("near_items") > 0, every("near_items")).alias("near_items"))
+    return grouped.mapInArrow(tidy_batches(join_spans), FOUND)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int | None = None) -> DataFrame:
@@ -217,22 +240,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: i
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is `window` consecutive item words; an item of
     fewer words, but not none, is one window. Columns: row, doc_id, n_words, spans, items, near_items, as
-    search_index says. Null or empty texts and items have no words; every document has its row, repeated rows
-    too; items with the same id count once in `items` sorted later by the caller. No benchmark: nothing is hit.
+    search_index says. Null or empty texts and items have no words; every document has its row, repeated rows and
+    those without an id too; an item without an id hits words but is in no list of items, and items with the same id
+    count once in `items` sorted later by the caller. No benchmark: nothing is hit. More columns are not looked at.
     """
-    items = benchmark.select("item_id", "text").where("text is not null")
+    index = written(build_index(docs), "postings")
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     n_blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    found = []
+    found = None
     for k in range(n_blocks):
-        phrases = Phrases.of([tuple(r) for r in items.where(block == k).collect()], window)
-        found.append(search_index(build_index(docs, phrases.terms), phrases, slack))
-    if n_blocks == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    return _merged(every)
+        part = search_index(index, Phrases.of([tuple(r) for r in items.where(block == k).collect()], window), slack)
+        found = part if found is None else found.unionAll(part)
+    return found if n_blocks == 1 else _merged(found)
 
 
 def summary(leaks: DataFrame) -> DataFrame:

@@ -145,14 +145,34 @@ def test_decontamination(spark):
     assert decontaminate.words_of("A-b\x80C") == [b"a", b"b\xc2\x80c"]
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    items = [(i, f"w{i} x{i} y{i}") for i in range(20)]
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_decontamination_in_blocks(spark, monkeypatch, parts):
+    """Several blocks of the benchmark, with repeated rows, null and repeated ids, and segments of one row each."""
+    items = [(i, f"w{i} x{i} y{i}") for i in range(20)] + [(None, "n0 n1"), (3, "z0 z1"), (3, "z0 z1"), (3, "w5 x5 y5")]
     rows = [(i, f"a w{i} x{i} y{i} b w{i + 1} x{i + 1} y{i + 1}") for i in range(10)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = sorted(tuple(r) for r in decontaminate.summary(decontaminate.find_leaks(frame(spark, rows), bench)).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
-    assert sorted(tuple(r) for r in decontaminate.summary(decontaminate.find_leaks(frame(spark, rows), bench)).collect()) == whole
-    assert [r[2] for r in whole] == [6] * 10
+    rows += [rows[2]] * 3 + [(None, rows[4][1]), (None, "w9 x9 y9 a a a a"), (None, ""), (None, None), (None, ""), (7, "c c c c c c c c"), (7, "w1 x1 y1 c c c c c"), (30, "n0 n1"), (31, "n0 n1 z0 z1"), (32, "z0")]
+
+    def brute(text):
+        w, hit, found = (text or "").split(), set(), set()
+        for item, t in items:
+            x = t.split()
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit.update(range(k, k + len(x)))
+                    found.add(item)
+        names = sorted(str(i) for i in found - {None})
+        return len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)
+
+    order = lambda r: (r[0] is None, *map(str, r))
+    want = sorted(((i, *brute(t)) for i, t in rows), key=order)
+    schema = "item_id long, text string, row string"
+    bench = spark.createDataFrame([(i, t, "r") for i, t in items], schema)
+    docs = frame(spark, [(i, t, "r", "s") for i, t in rows], "doc_id long, text string, row string, segment string", parts)
+    for size in (8 << 20, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        leaks = decontaminate.find_leaks(docs, bench)
+        assert sorted((tuple(r) for r in decontaminate.summary(leaks).collect()), key=order) == want
+        assert leaks.select("row").distinct().count() == len(rows)
 
 
 def test_proximity(spark):
