@@ -12,29 +12,34 @@ break with m - 1 losses. Two linked sets then share a signature. Sets too small
 shingles throughout, and so do sets that one of those may link to. Class-0 shingles need no signature: they only fill
 the prefix, and a set with more than n - t of them has no link at all.
 
-Steps. (1) shingles go, packed by hash range, to where their sets are counted; shingles that are in one set end
-there. (2) The others come back by set; prefixes and signatures are made. (3) Sets with a common signature make a
+Steps. (1) Documents are cut into blocks; a block's shingles go, packed by hash range, to where they are counted, each
+with its set's number in the block (a posting has 6 bytes at any size of the input); shingles of one posting end
+there. (2) The others come back by block; prefixes and signatures are made. (3) Sets with a common signature make a
 bucket; buckets with the same members are one. Each member is verified against its bucket's hub. (4) Where a member
 failed, the buckets of one hub are a family: its members outside of the family's largest component are compared with
 all its members, block against block - so no link between components is lost, and no pairs become rows. (5)
 Components by alternating large and small stars.
 
-Shingles that more than `frequent` sets of one block of documents share, and signatures with many members in one
-bucket of sets, are handled where they are found, so a hot key's rows are not sent to one task.
+Copies in one block are one set from the start; a set that is in several blocks is counted in each, which only makes
+its shingles look more frequent, and is one again from the signatures on.
+
+Shingles that more than `frequent` sets of one block share, and signatures with many members in one block, are handled
+where they are found. The number from which that is so falls with the number of blocks, so that what all blocks
+together send for one key stays within `range`, whether a key is common in some blocks or a little in all.
 Verification intersects the shingles that are in two sets or more (others can't be shared), as hashes of 40 bits
 plus the number of the range; set ids are 64-bit hashes of the shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +56,12 @@ class Tuning:
     frequent: int = 256
     groups: int = 16
     hot: int = 512
-    #: shingles in a block of documents, and in a range of hashes or a bucket of sets
+    #: sets of one block from which a shingle is handled there, `frequent` at most
+    heavy: int = 256
+    #: shingles in a block of documents, and in a range of hashes; for large inputs both grow, up to `largest`
     block: int = 500_000
     range: int = 1_500_000
+    largest: int = 8_000_000
     #: members of a family that are compared at once
     compared: int = 1024
 
@@ -62,6 +70,13 @@ class Tuning:
         """The order of the last shingles of class 1: sets, rounded up to a power of two, as its exponent."""
         return (self.frequent - 1).bit_length()
 
+    def fitted(self, total: int) -> Tuning:
+        """For `total` shingles: a block should have a hundred or so in each range, and all blocks' postings of one key are to be fewer than a range has."""
+        side = min(self.largest, int((100 * total) ** 0.5))
+        block, range_ = max(self.block, side), max(self.range, side)
+        share = max(2, range_ // (total // block + 1))
+        return replace(self, block=block, range=range_, heavy=min(self.frequent, share), hot=min(self.hot, share))
+
 
 #: The order of shingles that are frequent in one block already.
 LAST = 255
@@ -120,139 +135,135 @@ def expand(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null if empty) of each row."""
+def planes(at: np.ndarray) -> bytes:
+    """Ascending numbers under 2**16 as steps, the low bytes before the high ones, which are mostly 0."""
+    steps = np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return steps[:, 0].tobytes() + steps[:, 1].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            n, ids = [], []
-            for text in batch.column(1).to_pylist():
-                h = shingles(words_of(text), size, known)
-                n.append(len(h))
-                ids.append(set_id(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(run), "doc_id long, n_shingles long, set_id long")
+def from_planes(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint8).astype(np.int64).reshape(2, -1)
+    return np.cumsum(low + (high << 8))
 
 
-POSTINGS = "key long, base long, sets binary, sizes binary, counts binary, tokens binary, classes binary, heavy binary"
+#: Sets in a block, documents in a block.
+MOST_SETS, MOST_DOCS = (1 << 16) - 1, 1 << 18
+#: key: a range, or -1 - block. base: the range, or what else the row holds.
+POSTINGS = "key long, block long, base long, at binary, tokens binary, classes binary, ids binary, of binary"
 NAMES = [c.split()[0] for c in POSTINGS.split(", ")]
-
-
-def _chunks(keys: np.ndarray, sets: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, classes: np.ndarray | None, base, width: int) -> Iterator[list]:
-    """Postings sorted by key and set, as one packed row for each key. base: a number, or None for the key."""
-    if not len(keys):
-        return
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-        s = sets[lo:hi]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        counts = np.diff(np.append(first, hi - lo)).astype(np.int32)
-        key = int(keys[lo])
-        yield [key, key if base is None else base, s[first].tobytes(), sizes[lo:hi][first].astype(np.int32).tobytes(), counts.tobytes(), squeeze(tokens[lo:hi], width), b"" if classes is None else classes[lo:hi].tobytes(), b""]
+#: In place of a range: postings of heavy shingles of a block, its sets and documents; in place of a block: heavy shingles.
+HEAVY, ABOUT, MARK = -1, -2, -1
 
 
 def _arrow(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 5
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=NAMES)
 
 
 def _index_blocks(docs: DataFrame, size: int, ranges: int, tuning: Tuning) -> DataFrame:
-    """Postings of all shingles by range; keys under 0 carry those of shingles that are frequent in a block, on to the sets."""
-
-    def flush(ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch | None:
-        if not ids:
-            return None
-        counts = np.array([len(h) for h in hashes])
-        t = np.concatenate(hashes)
-        which = ((t >> U(40)) * U(ranges)) >> U(24)
-        token = (which << U(40)) | (t & LOW40)
-        sets, sizes = np.repeat(np.array(ids, np.int64), counts), np.repeat(counts, counts)
-        ordered = np.sort(token)
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        heavy = ordered[first[np.diff(np.append(first, len(ordered))) > tuning.frequent]]
-        rows: list[list] = []
-        if len(heavy):
-            is_heavy = np.isin(token, heavy)
-            # their postings go straight on; the lane is any number that differs from block to block
-            lane = -1 - int(np.bitwise_xor.reduce(t) % U(ranges))
-            rows += _chunks(np.full(is_heavy.sum(), lane), sets[is_heavy], sizes[is_heavy], token[is_heavy], None, -1, 8)
-            token, which, sets, sizes = (a[~is_heavy] for a in (token, which, sets, sizes))
-            for r in np.unique(heavy >> U(40)).tolist():
-                rows.append([r, r, b"", b"", b"", b"", b"", heavy[heavy >> U(40) == U(r)].tobytes()])
-        order = np.argsort(which.astype(np.int32), kind="stable")
-        rows += _chunks(which[order].astype(np.int64), sets[order], sizes[order], token[order], None, None, 5)
+    """Postings of all shingles by range. With keys under 0, on to the blocks: what sets and documents a block has, and its postings of heavy shingles."""
+
+    def flush(block: int, sets: dict[int, int], hashes: list[np.ndarray], ids: list[int | None], of: list[int]) -> pa.RecordBatch:
+        counts = np.array([len(h) for h in hashes], np.int64)
+        about = [np.array(list(sets), np.int64).tobytes(), counts.astype(np.int32).tobytes(), np.array([i is None for i in ids]).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array(of, np.int32).tobytes()]
+        rows: list[list] = [[-1 - block, block, ABOUT, *about]]
+        if len(hashes):
+            t = np.concatenate(hashes)
+            which = ((t >> U(40)) * U(ranges)) >> U(24)
+            token = (which << U(40)) | (t & LOW40)
+            at = np.repeat(np.arange(len(counts)), counts)
+            ordered = np.sort(token)
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            heavy = ordered[first[np.diff(np.append(first, len(ordered))) > tuning.heavy]]
+            if len(heavy):
+                is_heavy = np.isin(token, heavy)
+                rows.append([-1 - block, block, HEAVY, planes(at[is_heavy]), squeeze(token[is_heavy], 8), b"", b"", b""])
+                token, which, at = token[~is_heavy], which[~is_heavy], at[~is_heavy]
+                for r in np.unique(heavy >> U(40)).tolist():
+                    rows.append([r, MARK, r, b"", heavy[heavy >> U(40) == U(r)].tobytes(), b"", b"", b""])
+            order = np.argsort(which.astype(np.int32), kind="stable")
+            token, which, at = token[order], which[order], at[order]
+            starts = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else np.empty(0, np.int64)
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(which)], strict=True) if len(which) else ():
+                r = int(which[lo])
+                rows.append([r, block, r, planes(at[lo:hi]), squeeze(token[lo:hi], 5), b"", b"", b""])
         return _arrow(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, hashes, seen, n = WordHashes(), [], [], set(), 0
+        known, sets, hashes, ids, of, n = WordHashes(), {}, [], [], [], 0
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = shingles(words_of(text), size, known)
-                if len(h) and (s := set_id(h)) not in seen:
-                    seen.add(s)
-                    ids.append(s)
-                    hashes.append(h)
-                    n += len(h)
-                    if n >= tuning.block:
-                        yield flush(ids, hashes)
-                        ids, hashes, seen, n = [], [], set(), 0
-        if (last := flush(ids, hashes)) is not None:
-            yield last
-
-    return docs.select("text").mapInArrow(tidy_batches(run), POSTINGS)
-
-
-def _open(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Set, size, token and order of each posting in packed rows."""
-    sets, sizes, tokens, classes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, U)], [np.empty(0, np.uint8)]
-    for base, s, z, c, t, k in zip(pdf["base"], pdf["sets"], pdf["sizes"], pdf["counts"], pdf["tokens"], pdf["classes"], strict=True):
-        if not s:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingles(words_of(text.as_py()), size, known)
+                at = -1
+                if len(h):
+                    at = sets.setdefault(set_id(h), len(hashes))
+                    if at == len(hashes):
+                        hashes.append(h)
+                        n += len(h)
+                ids.append(doc_id)
+                of.append(at)
+                if n >= tuning.block or len(hashes) >= MOST_SETS or len(ids) >= MOST_DOCS:
+                    yield flush(block, sets, hashes, ids, of)
+                    sets, hashes, ids, of, n, block = {}, [], [], [], 0, block + 1
+        if ids:
+            yield flush(block, sets, hashes, ids, of)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(run), POSTINGS)
+
+
+def _rows(group: pa.Table) -> list[dict]:
+    return group.to_pylist()
+
+
+def _open(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row's place in `rows`, number of the set in its block, token and order of each posting."""
+    owner, at, tokens, classes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.uint8)]
+    for i, r in enumerate(rows):
+        if r["base"] == ABOUT or r["block"] == MARK:
             continue
-        counts = np.frombuffer(c, np.int32)
-        sets.append(np.repeat(np.frombuffer(s, np.int64), counts))
-        sizes.append(np.repeat(np.frombuffer(z, np.int32), counts))
-        tokens.append(expand(t, 8) if base < 0 else expand(t, 5) | (U(base) << U(40)))
-        classes.append(np.frombuffer(k, np.uint8) if k else np.full(counts.sum(), LAST, np.uint8))
-    return tuple(np.concatenate(a) for a in (sets, sizes, tokens, classes))
+        mine = from_planes(r["at"])
+        owner.append(np.full(len(mine), i))
+        at.append(mine)
+        tokens.append(expand(r["tokens"], 8) if r["base"] == HEAVY else expand(r["tokens"], 5) | (U(r["base"]) << U(40)))
+        classes.append(np.frombuffer(r["classes"], np.uint8) if r["classes"] else np.full(len(mine), LAST, np.uint8))
+    return tuple(np.concatenate(a) for a in (owner, at, tokens, classes))
 
 
 def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
     return (((sets.astype(U) >> U(40)) * U(buckets)) >> U(24)).astype(np.int64)
 
 
-def _classify(postings: DataFrame, buckets: int, tuning: Tuning) -> DataFrame:
-    """Postings of shingles in two sets or more, with their class, by bucket of sets."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = int(pdf["key"].iloc[0])
-        heavy = np.unique(np.concatenate([np.frombuffer(h, U) for h in pdf["heavy"]])) if key >= 0 else np.empty(0, U)
-        sets, sizes, tokens, classes = _open(pdf)
-        if key >= 0:
-            order = np.argsort(tokens)
-            t = tokens[order]
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, np.int64)
-            runs = np.diff(np.append(first, len(t)))
-            shared = np.repeat((runs > 1) | np.isin(t[first], heavy), runs)
-            at = order[shared]
-            at = at[np.lexsort((sets[at], tokens[at]))]
-            t, s = tokens[at], sets[at]
-            new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])) if len(t) else np.empty(0, bool)
-            at, t = at[new], t[new]
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, np.int64)
-            runs = np.diff(np.append(first, len(t)))
-            frequent = np.isin(t[first], heavy)
-            keep = np.repeat((runs > 1) | frequent, runs)
-            kind = np.repeat(np.where(frequent, LAST, np.ceil(np.log2(runs))).astype(np.uint8), runs)[keep]
-            at = at[keep]
-            sets, sizes, tokens, classes = sets[at], sizes[at], tokens[at], kind
-        where = _bucket(sets, buckets)
-        order = np.lexsort((sets, where))
-        rows = list(_chunks(where[order], sets[order], sizes[order], tokens[order], classes[order], max(key, -1), 5 if key >= 0 else 8))
-        return pd.DataFrame(rows, columns=NAMES)
-
-    return postings.groupBy("key").applyInPandas(tidy_group(run), POSTINGS)
+def _classify(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that have two or more, with their class, by block."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = _rows(group)
+        key = rows[0]["key"]
+        if key < 0:
+            return group
+        marks = [np.frombuffer(r["tokens"], U) for r in rows if r["block"] == MARK]
+        heavy = np.unique(np.concatenate(marks)) if marks else np.empty(0, U)
+        owner, at, tokens, _ = _open(rows)
+        order = np.argsort(tokens)
+        t = tokens[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, np.int64)
+        runs = np.diff(np.append(first, len(t)))
+        is_heavy = np.isin(t[first], heavy)
+        keep = np.repeat((runs > 1) | is_heavy, runs)
+        kinds = np.repeat(np.where(is_heavy, LAST, np.ceil(np.log2(np.maximum(runs, 1)))).astype(np.uint8), runs)[keep]
+        chosen = order[keep]
+        back = np.lexsort((at[chosen], owner[chosen]))
+        chosen, kinds = chosen[back], kinds[back]
+        who = owner[chosen]
+        starts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.empty(0, np.int64)
+        out = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(who)], strict=True) if len(who) else ():
+            block, mine = rows[int(who[lo])]["block"], chosen[lo:hi]
+            out.append([-1 - block, block, key, planes(at[mine]), squeeze(tokens[mine], 5), kinds[lo:hi].tobytes(), b"", b""])
+        return pa.Table.from_batches([_arrow(out)])
+
+    return postings.groupBy("key").applyInArrow(tidy_group(run), POSTINGS)
 
 
 def prefix_signatures(n: int, tokens: np.ndarray, n_rare: int, share: int, groups: int) -> np.ndarray:
@@ -283,28 +294,33 @@ def prefix_signatures(n: int, tokens: np.ndarray, n_rare: int, share: int, group
 
 
 SETS = "kind int, key long, sets binary, sizes binary, counts binary, tokens binary, set_id long, n long"
+KINDS = [pa.int32(), pa.int64()] + [pa.binary()] * 4 + [pa.int64()] * 2
 
 
 def _sign(postings: DataFrame, buckets: int, width: int, share: int, tuning: Tuning) -> DataFrame:
-    """kind 0: a set with its shingles; 1: packed signatures by range; 2: a member (set_id) of a hot signature (key) with its local hub, packed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, sizes, tokens, classes = _open(pdf)
-        order = np.lexsort((tokens, classes, sets))
-        sets, sizes, tokens, classes = sets[order], sizes[order], tokens[order], classes[order]
-        new = np.append(True, (sets[1:] != sets[:-1]) | (tokens[1:] != tokens[:-1])) if len(sets) else np.empty(0, bool)
-        sets, sizes, tokens, classes = sets[new], sizes[new], tokens[new], classes[new]
-        first = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])) if len(sets) else np.empty(0, np.int64)
-        ends = np.append(first[1:], len(sets))
+    """kind 0: a set with its shingles; 1: signatures, packed by range; 2: the members of a hot signature (key), packed; 3: documents with their number
+    of shingles and set, packed (ids as sets, sizes, null ids as counts, sets as tokens)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = _rows(group)
+        about = next(r for r in rows if r["base"] == ABOUT)
+        set_ids, set_sizes, of = np.frombuffer(about["at"], np.int64), np.frombuffer(about["tokens"], np.int32), np.frombuffer(about["of"], np.int32)
+        some = of >= 0
+        sets_of, sizes_of = np.zeros(len(of), np.int64), np.zeros(len(of), np.int32)
+        sets_of[some], sizes_of[some] = set_ids[of[some]], set_sizes[of[some]]
+        _, at, tokens, classes = _open(rows)
+        order = np.lexsort((tokens, classes, at))
+        at, tokens, classes = at[order], tokens[order], classes[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+        ends = np.append(first[1:], len(at)) if len(at) else first
         rare = np.add.reduceat((classes <= tuning.level).astype(np.int64), first) if len(first) else first
-        n = sizes[first].astype(np.int64)
+        sets, n = set_ids[at[first]], set_sizes[at[first]].astype(np.int64)
         able = (n - (ends - first)) < n + (-share * n // 100) + 1  # fewer shingles of its own than the losses it can have, and one
-        out: list[list] = []
+        out: list[list] = [[3, 0, about["ids"], sizes_of.tobytes(), about["classes"], sets_of.tobytes(), 0, 0]]
         sig_sets, sig_sizes, sigs = [], [], []
-        for lo, hi, r, size in zip(first[able].tolist(), ends[able].tolist(), rare[able].tolist(), n[able].tolist(), strict=True):
+        for lo, hi, r, size, sid in zip(first[able].tolist(), ends[able].tolist(), rare[able].tolist(), n[able].tolist(), sets[able].tolist(), strict=True):
             found = prefix_signatures(size, tokens[lo:hi], r, share, tuning.groups)
             if len(found):
-                sid = int(sets[lo])
                 out.append([0, 0, b"", b"", b"", squeeze(np.sort(tokens[lo:hi]), width), sid, size])
                 sig_sets.append(np.full(len(found), sid))
                 sig_sizes.append(np.full(len(found), size))
@@ -332,41 +348,59 @@ def _sign(postings: DataFrame, buckets: int, width: int, share: int, tuning: Tun
                 heads = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
                 counts = np.diff(np.append(heads, hi - lo)).astype(np.int32)
                 out.append([1, int(where[lo]), mine[heads].tobytes(), z[lo:hi][heads].astype(np.int32).tobytes(), counts.tobytes(), g[lo:hi].tobytes() + flag[lo:hi].tobytes(), 0, 0])
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SETS.split(", ")])
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(KINDS)], names=[c.split()[0] for c in SETS.split(", ")])
 
-    return postings.groupBy("key").applyInPandas(tidy_group(run), SETS)
+    return postings.groupBy("key").applyInArrow(tidy_group(run), SETS)
 
 
-EDGES = "bucket long, hub long, hub_n long, member long, member_n long"
+def _documents(signed: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_id (null if empty) of each document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, nulls, sets in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                n = np.frombuffer(sizes, np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(nulls, bool)), pa.array(n), pa.array(np.frombuffer(sets, np.int64), mask=n == 0)], names=["doc_id", "n_shingles", "set_id"])
 
-def _star(bucket: np.ndarray, sets: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Edges from the first member of each run to the others."""
+    return signed.where("kind = 3").select("sets", "sizes", "counts", "tokens").mapInArrow(tidy_batches(run), "doc_id long, n_shingles long, set_id long")
+
+
+EDGES = "bucket long, family long, hub long, hub_n long, member long, member_n long"
+
+
+def _star(bucket: np.ndarray, hot: np.ndarray, sets: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Edges from the first member of each run to the others. Buckets of one hub are a family; a hot bucket has several hubs, and is a family of its own."""
     runs = np.diff(np.append(starts, len(sets)))
     head = np.zeros(len(sets), bool)
     head[starts] = True
     hub = np.repeat(starts, runs)
-    return [np.repeat(bucket, runs)[~head], sets[hub][~head], sizes[hub][~head], sets[~head], sizes[~head]]
+    family = np.where(hot, mix(bucket.astype(U) ^ MIX1), mix(sets[starts].astype(U))).astype(np.int64)
+    return [np.repeat(bucket, runs)[~head], np.repeat(family, runs)[~head], sets[hub][~head], sizes[hub][~head], sets[~head], sizes[~head]]
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
     """Star edges of the buckets; buckets of one range with the same members are one."""
+    names = [c.split()[0] for c in EDGES.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         sets, sizes, sigs, flags = [], [], [], []
-        for s, z, c, t in zip(pdf["sets"], pdf["sizes"], pdf["counts"], pdf["tokens"], strict=True):
-            counts = np.frombuffer(c, np.int32)
+        for r in _rows(group):
+            counts = np.frombuffer(r["counts"], np.int32)
             n = int(counts.sum())
-            sets.append(np.repeat(np.frombuffer(s, np.int64), counts))
-            sizes.append(np.repeat(np.frombuffer(z, np.int32), counts))
-            sigs.append(np.frombuffer(t[: 8 * n], U))
-            flags.append(np.frombuffer(t[8 * n :], np.uint8))
+            sets.append(np.repeat(np.frombuffer(r["sets"], np.int64), counts))
+            sizes.append(np.repeat(np.frombuffer(r["sizes"], np.int32), counts))
+            sigs.append(np.frombuffer(r["tokens"][: 8 * n], U))
+            flags.append(np.frombuffer(r["tokens"][8 * n :], np.uint8))
         sets, sizes, sigs, flags = (np.concatenate(a) for a in (sets, sizes, sigs, flags))
         order = np.lexsort((sets, sigs))
         sets, sizes, sigs, flags = sets[order], sizes[order].astype(np.int64), sigs[order], flags[order]
         starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
-        runs = np.diff(np.append(starts, len(sigs)))
         hot = np.maximum.reduceat(flags, starts) > 0
+        # a set that is in several blocks has come from each
+        new = np.append(True, (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1]))
+        sets, sizes, sigs = sets[new], sizes[new], sigs[new]
+        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+        runs = np.diff(np.append(starts, len(sigs)))
         same = np.add.reduceat(mix(sets.astype(U)), starts) + U(1) * runs.astype(U)
         ident = np.where(hot, sigs[starts], mix(same))
         _, once = np.unique(ident, return_index=True)
@@ -376,16 +410,16 @@ def _buckets(signed: DataFrame) -> DataFrame:
         rows = np.repeat(chosen, runs)
         sets, sizes = sets[rows], sizes[rows]
         begin = np.append(0, np.cumsum(runs[chosen]))[:-1]
-        edges = _star(ident[chosen].astype(np.int64), sets, sizes, begin) if len(begin) else [np.empty(0, np.int64)] * 5
-        return pd.DataFrame(dict(zip([c.split()[0] for c in EDGES.split(", ")], edges, strict=True)))
+        edges = _star(ident[chosen].astype(np.int64), hot[chosen], sets, sizes, begin) if len(begin) else [np.empty(0, np.int64)] * len(names)
+        return pa.Table.from_arrays([pa.array(e, pa.int64()) for e in edges], names=names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, s, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 sets, sizes = np.frombuffer(s, np.int64), np.frombuffer(z, np.int32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _star(np.array([key]), sets, sizes, np.array([0]))], names=[c.split()[0] for c in EDGES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _star(np.array([key]), np.array([True]), sets, sizes, np.array([0]))], names=names)
 
-    return signed.where("kind = 1").groupBy("key").applyInPandas(tidy_group(run), EDGES).unionAll(signed.where("kind = 2").select("key", "sets", "sizes").mapInArrow(tidy_batches(local), EDGES))
+    return signed.where("kind = 1").select("key", "sets", "sizes", "counts", "tokens").groupBy("key").applyInArrow(tidy_group(run), EDGES).unionAll(signed.where("kind = 2").select("key", "sets", "sizes").mapInArrow(tidy_batches(local), EDGES))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, share: int) -> DataFrame:
@@ -469,32 +503,27 @@ def _generated(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return rows.select(F.explode(made).alias("e")).select("e.*")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """node, root (the least node of its component) of all nodes in `links` (a, b) but the roots themselves.
 
     Alternating stars: each node's neighbours are linked to the least of them, first the larger ones, then the
-    smaller ones, until nothing changes. Each round is written, so a lost executor costs no earlier round.
+    smaller ones, until nothing changes; rounds grow with the logarithm of a component's size, and it is an error if
+    `max_rounds` aren't enough. Each round is written, so a lost executor costs no earlier round.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == before or state[0] == 0:
-            break
-        before = tuple(state)
+        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == before or state[0] == 0:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
         every = _generated(edges, ("u", "v"), ("v", "u"))
         least = every.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = every.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         edges = written(_generated(small, ("v", "m"), ("u", "m")).where("u <> v").distinct(), "star")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are over: they are removed when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)
+    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning: Tuning | None = None) -> DataFrame:
@@ -503,33 +532,31 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning:
     share: links need 100 * intersection >= share * union. Null texts and texts without words have no shingles and
     link with nothing, not with each other either: component_id is their own doc_id. Repeated rows stay and are one
     component. A row with a null doc_id has the component of its set; if no row of the component has an id, null.
+    An empty table has no rows; more columns are not looked at. `docs` is a table, or has the same rows in the same
+    partitions and order if a lost one is made again.
     """
-    spark, tuning = docs.sparkSession, tuning or Tuning()
-    info = written(_describe(docs, size), "shingles")
-    total = info.agg(F.sum("n_shingles")).first()[0] or 0
+    # five letters and a blank to a word: this decides sizes only
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    tuning = (tuning or Tuning()).fitted(total)
     ranges = max(1, -(-total // tuning.range))
     width = 5 + max(1, (max(1, ranges - 1).bit_length() + 7) // 8)
-    signed = written(_sign(_classify(_index_blocks(docs, size, ranges, tuning), ranges, tuning), ranges, width, share, tuning), "signed")
-    release(spark)
-    sets = signed.where("kind = 0").select("set_id", "tokens")
+    signed = written(_sign(_classify(_index_blocks(docs, size, ranges, tuning)), ranges, width, share, tuning), "signed", ["kind"])
+    info = _documents(signed)
+    # a set that is in several blocks has come from each
+    sets = written(signed.where("kind = 0").groupBy("set_id").agg(F.first("tokens").alias("tokens")), "sets")
     stars = written(_buckets(signed), "stars")
-    release(spark)
     tried = stars.groupBy("hub", "member").agg(F.max("hub_n").alias("a_n"), F.max("member_n").alias("b_n")).withColumnsRenamed({"hub": "a", "member": "b"})
     links = written(_verified(tried, sets, width, share), "verified")
     roots = components(links)
-    # buckets with a member that didn't link to the hub; those of one hub are one family, as they have mostly the same members
-    failed = stars.join(links, (F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti")
-    hubs = stars.join(failed.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.min("hub").alias("low"), F.max("hub").alias("high"))
-    # a hot bucket has several hubs, and is a family of its own
-    family = F.when(F.col("low") == F.col("high"), F.xxhash64(F.lit("hub"), "low")).otherwise(F.xxhash64(F.lit("bucket"), "bucket"))
+    # of the buckets with a member that didn't link to the hub, those of one hub are a family, as they have mostly the same members
+    failed = stars.join(links, (F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti").select("bucket").distinct()
     pair = F.explode(F.array(F.struct(F.col("member").alias("node"), F.col("member_n").alias("n")), F.struct(F.col("hub").alias("node"), F.col("hub_n").alias("n"))))
-    members = stars.join(hubs.select("bucket", family.alias("family")), "bucket").select("family", pair.alias("m")).select("family", "m.*").distinct()
+    members = stars.join(failed, "bucket", "left_semi").select("family", pair.alias("m")).select("family", "m.*").distinct()
     members = written(members.join(roots, "node", "left").select("family", "node", "n", F.coalesce("root", "node").alias("root")), "members")
     main = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).where("most < size")
     more = written(_across(members.join(main.select("family", "main", "size"), "family"), sets, width, share, tuning), "verified")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
-    release(spark)
     # one row for each set first, so that a set that a third of all rows have is one row in what follows
     of_set = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     of_root = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
