@@ -356,21 +356,29 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     return Model(terms, weights, vocabulary.unknown, is_strong, index, slope, offset, k)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
+RESULT = "score double, predicted int, near_ids array<long>, near_cosines array<double>, near_labels array<long>, evidence array<string>"
+
+
+def classify(docs: DataFrame, model: Model, into: str | None = None) -> DataFrame:
     """`docs` (doc_id, text) with score (0 to 1), predicted (1 if score >= 0.5), the nearest examples' ids,
     cosines and labels, and the text's own terms that go with the label, heaviest first (at most 8 reported).
 
     Every row has its score, repeated rows the same; null and empty texts and those that share no word with any example
-    have no neighbours, and the score of the examples' share of label 1. Rows stay where they are; more columns are not looked at.
+    have no neighbours, and the score of the examples' share of label 1. Rows stay where they are. More columns are not
+    looked at; with `into`, all columns of `docs` come through, and the results are a struct of this name.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if into is None else docs
+    at = rows.columns.index("text")
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         vocabulary, memo = Vocabulary(m.terms, m.weights, m.unknown), {}
         for batch in batches:
             scores, near_ids, cosines, labels, evidence = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for value in batch.column(at):
+                text = value.as_py()
                 key = xxhash.xxh3_128_digest(text or "")
                 if key not in memo:
                     if len(memo) >= MEMO:
@@ -380,13 +388,20 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                     near = m.index.nearest(t, w, m.k)
                     strong = np.flatnonzero(m.strong[t])
                     heavy = [m.terms[t[i]] for i in strong[np.argsort(-w[strong], kind="stable")][:8]]
-                    at = [p for _, p in near]
-                    memo[key] = (m.score(m.index.vote(near)), m.index.ids[at].tolist(), [c for c, _ in near], m.index.labels[at].tolist(), heavy)
+                    places = [p for _, p in near]
+                    memo[key] = (m.score(m.index.vote(near)), m.index.ids[places].tolist(), [c for c, _ in near], m.index.labels[places].tolist(), heavy)
                 for column, value in zip((scores, near_ids, cosines, labels, evidence), memo[key], strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(labels, pa.list_(pa.int64())), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "near_ids", "near_cosines", "near_labels", "evidence"])
+            found = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(labels, pa.list_(pa.int64())), pa.array(evidence, pa.list_(pa.string()))]
+            if into is None:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", *names])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(found, names=names)], names=[*batch.schema.names, into])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(run), "doc_id long, score double, predicted int, near_ids array<long>, near_cosines array<double>, near_labels array<long>, evidence array<string>")
+    if into is None:
+        return rows.mapInArrow(tidy_batches(run), f"doc_id long, {RESULT}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(tidy_batches(run), f"{fields}, `{into}` struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
 
 
 def held_out(doc_id) -> F.Column:
