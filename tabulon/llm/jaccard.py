@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy_batches, tidy_group, written
+from .common import maybe_broadcast, table, tidy_batches, tidy_group, written
 
 WORD_CACHE = 200_000
 
@@ -457,11 +457,15 @@ def _across(members: DataFrame, sets: DataFrame, width: int, share: int, tuning:
         tokens = [expand(t, width) for t in both["tokens"]]
         rows = np.repeat(np.arange(len(both)), [len(t) for t in tokens])
         _, column = np.unique(np.concatenate(tokens), return_inverse=True)
+        # only what is on both sides can be shared
+        both_sides = (np.bincount(column[rows < len(left)], minlength=column.max() + 1) > 0) & (np.bincount(column[rows >= len(left)], minlength=column.max() + 1) > 0)
+        kept = both_sides[column]
+        rows, column = rows[kept], (np.cumsum(both_sides) - 1)[column[kept]]
         order = np.argsort(column, kind="stable")
         rows, column = rows[order], column[order]
         shared = np.zeros((len(left), len(right)), np.float32)
         step = 4096
-        for lo in range(0, int(column[-1]) + 1, step):
+        for lo in range(0, int(both_sides.sum()), step):
             part = slice(*np.searchsorted(column, [lo, lo + step]))
             m = np.zeros((len(both), step), np.float32)
             m[rows[part], column[part] - lo] = 1
@@ -554,7 +558,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning:
     members = stars.join(failed, "bucket", "left_semi").select("family", pair.alias("m")).select("family", "m.*").distinct()
     members = written(members.join(roots, "node", "left").select("family", "node", "n", F.coalesce("root", "node").alias("root")), "members")
     main = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).where("most < size")
-    more = written(_across(members.join(main.select("family", "main", "size"), "family"), sets, width, share, tuning), "verified")
+    # a row for each family: in a table of its own, so that a large family's members needn't come to where these were made
+    main = written(main.select("family", "main", "size"), "families")
+    more = written(_across(members.join(maybe_broadcast(main, 48 * main.count()), "family"), sets, width, share, tuning), "verified")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     # one row for each set first, so that a set that a third of all rows have is one row in what follows
