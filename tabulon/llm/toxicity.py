@@ -20,7 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +30,19 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, table, tidy_batches
 
-WORD = re.compile(r"\w+")
+WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 PREFIXES = (4, 5)
-#: Weight of terms that don't go with the label; votes' smoothing; examples in a block; words and results that a worker keeps.
-FLOOR, SMOOTHING, BLOCK, CACHE, MEMO = 0.1, 0.05, 64, 100_000, 10_000
+#: Weight of terms that don't go with the label; votes' smoothing; examples in a block; queries in a batch; results that a worker keeps.
+FLOOR, SMOOTHING, BLOCK, BATCH, MEMO = 0.1, 0.05, 64, 128, 10_000
 #: Share of the examples from which a term is frequent.
-FREQUENT = 0.2
+FREQUENT = 0.05
 #: Least hashes of three words in a row by which examples are told to be near copies.
 SIGNATURE = 4
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, digits, underscores and all that is beyond ASCII, lower-cased."""
+    return [w.decode() for w in WORD.findall(text.lower().encode())] if text else []
 
 
 def beginnings(word: str) -> list[str]:
@@ -57,52 +58,86 @@ def signature(words: list[str]) -> tuple[int, ...]:
     return tuple(int((h * np.uint64(m) ^ (h >> np.uint64(m % 23 + 7))).min()) for m in range(0x9E3779B1, 0x9E3779B1 + 2 * SIGNATURE, 2))
 
 
+U = np.uint64
+IS_WORD = np.array([bool(WORD.match(bytes([i]))) for i in range(256)])
+#: A factor and its inverse, modulo 2**64; bytes that are hashed at once; what a beginning's hash differs by from that of a word.
+FACTOR, INVERSE, PIECE, HEAD = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), 1 << 20, U(0x2545F4914F6CDD1D)
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.multiply.accumulate(np.append(U(1), np.full(size, f, U))) for f in (FACTOR, INVERSE))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> U(31))
+
+
+def hashed(text: str | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The hash of each word; for each length of beginnings, the hashes of those of longer words, and the words' places."""
+    b = np.frombuffer(f" {(text or '').lower()} ".encode(), np.uint8)
+    word = IS_WORD[b]
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    whole, heads = [np.empty(0, U)], [[(np.empty(0, U), np.empty(0, np.int64))] for _ in PREFIXES]
+    at = 0
+    while at < len(starts):
+        # some words at once, so that memory is bounded for a long text
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE)))
+        lo, hi = int(starts[at]), int(ends[to - 1])
+        up, down = _powers(1 << (hi - lo).bit_length())
+        piece = b[lo:hi]
+        sums = np.append(U(0), np.cumsum(piece * up[: hi - lo]))
+        s, e = starts[at:to] - lo, ends[at:to] - lo
+        whole.append(_mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
+        letters = np.flatnonzero((piece & 0xC0) != 0x80)
+        first = np.searchsorted(letters, s)
+        for n, found in zip(PREFIXES, heads, strict=True):
+            end = letters[np.minimum(first + n, len(letters) - 1)]
+            long = np.flatnonzero((first + n < len(letters)) & (end < e))
+            s_, e_ = s[long], end[long]
+            found.append((_mixed((sums[e_] - sums[s_]) * down[s_] + (e_ - s_).astype(U) + HEAD), long + at))
+        at = to
+    return np.concatenate(whole), [tuple(map(np.concatenate, zip(*found, strict=True))) for found in heads]
+
+
 class Vocabulary:
-    """Numbers and weights of a text's terms."""
+    """Numbers and weights of a text's terms: words, then beginnings, each in order of their hashes."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, unknown: float) -> None:
+    def __init__(self, words: np.ndarray, heads: np.ndarray, weights: np.ndarray, unknown: float) -> None:
         """weights: idf, times FLOOR where that applies, of each term; unknown: that of words that aren't among them."""
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.heads = [(n, heads) for n in PREFIXES if (heads := {t[1:]: i for i, t in enumerate(terms) if t[0] == "^" and len(t) == n + 1})]
-        self.weights, self.unknown = weights, unknown
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def numbers(self, word: str) -> tuple[int, ...]:
-        """Of the word, -1 if it isn't known, and of its beginnings."""
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = (self.number.get(word, -1),)
-            for n, heads in self.heads:
-                if len(word) > n and (i := heads.get(word[:n])) is not None:
-                    found += (i,)
-            self.cache[word] = found
-        return found
-
-    def counts(self, words: list[str]) -> tuple[dict[int, int], float]:
-        """How often each known term is there; the squared weight of the unknown words."""
-        out: dict[int, int] = {}
-        rest, get = 0.0, self.cache.get
-        for word, n in Counter(words).items():
-            found = get(word) or self.numbers(word)
-            if found[0] >= 0:
-                out[found[0]] = n
-            else:
-                rest += 1.0 if n == 1 else (1.0 + log(n)) ** 2
-            if len(found) > 1:
-                for t in found[1:]:
-                    out[t] = out.get(t, 0) + n
-        return out, rest * self.unknown**2
-
-    def unit(self, counts: dict[int, int], rest: float) -> tuple[np.ndarray, np.ndarray]:
-        """Terms, ascending, and weights of the vector of length 1 (with the unknown words, which are left out)."""
-        t = np.fromiter(counts.keys(), np.int64, len(counts))
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        order = np.argsort(t)
-        t = t[order]
-        w = (1.0 + np.log(n[order])) * self.weights[t]
-        length = np.sqrt((w**2).sum() + rest)
+        self.words, self.heads, self.weights, self.unknown = words, heads, weights, unknown
+
+    @staticmethod
+    def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, at, -1)
+
+    def terms(self, text: tuple, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a hashed text (times: how often each word is there): known terms and how often each is there; how often each unknown word is."""
+        h, heads = text
+        times = np.ones(len(h)) if times is None else times
+        words, which = np.unique(h, return_inverse=True)
+        n = np.bincount(which, times, len(words))
+        ids = self._find(self.words, words)
+        known = ids >= 0
+        t, m = [ids[known]], [n[known]]
+        if len(self.heads):
+            found = np.concatenate([self._find(self.heads, x) for x, _ in heads])
+            places = np.concatenate([at for _, at in heads])[found >= 0]
+            some, which = np.unique(found[found >= 0], return_inverse=True)
+            t.append(some + len(self.words))
+            m.append(np.bincount(which, times[places], len(some)))
+        return np.concatenate(t), np.concatenate(m), n[~known]
+
+    def unit(self, text: tuple, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a hashed text's vector of length 1; unknown words only lengthen it, and are left out."""
+        t, n, strange = self.terms(text, times)
+        w = (1.0 + np.log(n)) * self.weights[t]
+        length = np.sqrt((w**2).sum() + (((1.0 + np.log(strange)) * self.unknown) ** 2).sum())
         return t, w / length if length > 0 else w
 
 
@@ -113,8 +148,8 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Examples by position. Postings of each term by position; for frequent terms the greatest weight in each block,
-    and what each example has of them."""
+    """Examples by position. Of each rarer term its postings; of each frequent one its weight in every example, by
+    blocks, and the greatest in each block."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -124,15 +159,10 @@ class BlockMaxIndex:
     starts: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
-    #: the number of each frequent term, else -1; their greatest weights by block
+    #: the number of each frequent term, else -1; their weights by example, their greatest weights by block
     frequent: np.ndarray
+    dense: np.ndarray
     most: np.ndarray
-    #: of each example, the frequent terms and their weights from own[i] to own[i + 1]
-    own: np.ndarray
-    own_terms: np.ndarray
-    own_weights: np.ndarray
-    #: the length of these weights
-    length: np.ndarray
 
     @staticmethod
     def of(examples: list[tuple[int, int, int, np.ndarray, np.ndarray]], n_terms: int, share: float = FREQUENT) -> BlockMaxIndex:
@@ -145,62 +175,54 @@ class BlockMaxIndex:
         rank[np.lexsort((np.arange(n_terms), -held))] = np.arange(n_terms)
         examples = sorted(examples, key=lambda e: (np.sort(rank[e[3]])[:8].tolist(), e[0]))
         n = len(examples)
-        lengths = np.array([len(e[3]) for e in examples], np.int64)
         terms = np.concatenate([np.empty(0, np.int64), *(e[3] for e in examples)])
         weights = np.concatenate([np.empty(0), *(e[4] for e in examples)])
-        rows = np.repeat(np.arange(n), lengths)
-        order = np.argsort(terms, kind="stable")
-        starts = np.append(0, np.cumsum(held))
+        rows = np.repeat(np.arange(n), [len(e[3]) for e in examples])
         is_frequent = held > max(share * n, 1)
         frequent = np.where(is_frequent, np.cumsum(is_frequent) - 1, -1).astype(np.int32)
         mine = is_frequent[terms]
-        most = np.zeros((int(is_frequent.sum()), -(-n // BLOCK)))
-        np.maximum.at(most, (frequent[terms[mine]], rows[mine] // BLOCK), weights[mine])
-        own = np.append(0, np.cumsum(np.bincount(rows[mine], minlength=n)))
+        dense = np.zeros((-(-n // BLOCK) * BLOCK, int(is_frequent.sum())))
+        dense[rows[mine], frequent[terms[mine]]] = weights[mine]
+        most = dense.reshape(len(dense) // BLOCK, BLOCK, dense.shape[1]).max(axis=1, initial=0.0).T
+        rows, terms, weights = rows[~mine], terms[~mine], weights[~mine]
+        order = np.argsort(terms, kind="stable")
+        starts = np.append(0, np.cumsum(np.where(is_frequent, 0, held)))
         number = lambda at: np.array([e[at] for e in examples], np.int64)
-        return BlockMaxIndex(number(0), number(1), number(2), starts, rows[order].astype(np.int32), weights[order], frequent, most, own, frequent[terms[mine]], weights[mine], np.sqrt(np.bincount(rows[mine], weights[mine] ** 2, n)))
+        return BlockMaxIndex(number(0), number(1), number(2), starts, rows[order].astype(np.int32), weights[order], frequent, dense, np.ascontiguousarray(most))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k greatest cosines with their positions, ties to the smaller position, best first; fewer, if fewer share a term. without: a family that takes no part."""
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k greatest cosines with their positions, ties to the smaller position, best first; fewer,
+        if fewer share a term. without: for each query a family that takes no part."""
         n = len(self.ids)
-        if not n:
-            return []
-        at = self.frequent[terms]
-        rare = at < 0
-        first = self.starts[terms]
-        held = self.starts[terms + 1] - first
-        slices = [slice(*x) for x in zip(first[rare].tolist(), (first + held)[rare].tolist(), strict=True)]
-        rows = np.concatenate([self.rows[:0], *(self.rows[x] for x in slices)])
-        partial = np.bincount(rows, np.concatenate([self.weights[:0], *(self.weights[x] for x in slices)]) * np.repeat(weights[rare], held[rare]), n)
-        at, w = at[~rare], weights[~rare]
-        bound = partial + np.minimum(np.repeat(w @ self.most[at], BLOCK)[:n], np.sqrt((w**2).sum()) * self.length)
-        if without >= 0:
-            bound[self.family == without] = -1.0
-        # cosines are compared to ten digits, bounds with a little more, so that rounding hides no neighbour
-        bound += 1e-9
-        whole = np.zeros(len(self.most))
-        whole[at] = w
-        scored, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        step, todo = 2 * k, np.flatnonzero(bound >= 0)
-        while len(todo):
-            if len(todo) > step:
-                chosen = np.argpartition(-bound[todo], step)
-                now, todo = todo[chosen[:step]], todo[chosen[step:]]
-            else:
-                now, todo = todo, todo[:0]
-            n_own = self.own[now + 1] - self.own[now]
-            places = _ranges(self.own[now], n_own)
-            which = np.repeat(np.arange(len(now)), n_own)
-            found = np.round(partial[now] + np.bincount(which, whole[self.own_terms[places]] * self.own_weights[places], len(now)), 10)
-            scored, cosines = np.append(scored, now), np.append(cosines, found)
-            if len(scored) >= k:
-                top = np.lexsort((scored, -cosines))[:k]
-                scored, cosines = scored[top], cosines[top]
-                least = cosines[-1]
-                todo = todo[bound[todo] >= least]
-            step = min(4 * step, 1024)
-        top = np.lexsort((scored, -cosines))[:k]
-        return [(float(c), int(p)) for c, p in zip(cosines[top], scored[top], strict=True) if c > 0]
+        if not n or not queries:
+            return [[] for _ in queries]
+        partial = np.zeros((len(queries), len(self.dense)))
+        asked = np.zeros((len(queries), self.dense.shape[1]))
+        for i, (terms, weights) in enumerate(queries):
+            at = self.frequent[terms]
+            rare = at < 0
+            first = self.starts[terms[rare]]
+            held = self.starts[terms[rare] + 1] - first
+            places = _ranges(first, held)
+            partial[i, :n] = np.bincount(self.rows[places], self.weights[places] * np.repeat(weights[rare], held), n)
+            asked[i, at[~rare]] = weights[~rare]
+            if without is not None:
+                partial[i, :n][self.family == without[i]] = -4.0
+        # all weights are positive: the whole cosines are these or more. A little is allowed for rounding
+        least = np.partition(partial[:, :n], n - k, axis=1)[:, n - k] if n > k else np.zeros(len(queries))
+        bound = asked @ self.most + partial.reshape(len(queries), -1, BLOCK).max(axis=2)
+        alive = bound >= np.maximum(least, 0.0)[:, None] - 1e-9
+        score = np.zeros_like(partial)
+        for b in np.flatnonzero(alive.any(axis=0)).tolist():
+            who, block = np.flatnonzero(alive[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            score[who, block] = partial[who, block] + asked[who] @ self.dense[block].T
+        out = []
+        for mine in np.round(score[:, :n], 10):
+            at = np.flatnonzero(mine >= np.partition(mine, n - k)[n - k]) if n > k else np.arange(n)
+            at = at[mine[at] > 0]
+            top = at[np.lexsort((at, -mine[at]))[:k]]
+            out.append(list(zip(mine[top].tolist(), top.tolist(), strict=True)))
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the votes for label 1, each with 1 / (squared distance + SMOOTHING); without neighbours that of all examples."""
@@ -238,12 +260,9 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Model:
-    terms: list[str]
-    #: weights of the terms and of words that aren't among them
-    weights: np.ndarray
-    unknown: float
-    #: whether a term goes with the label
-    strong: np.ndarray
+    vocabulary: Vocabulary
+    #: words and beginnings (with ^) that go with the label, by number
+    strong: dict[int, str]
     index: BlockMaxIndex
     slope: float
     offset: float
@@ -298,28 +317,28 @@ def _associated(examples: list[tuple[int, int, int, dict[str, int]]], least: flo
     return out
 
 
-def _document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Over all documents: how many there are, and how many have each of the terms."""
-    known = docs.sparkSession.sparkContext.broadcast(terms)
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(known.value, np.empty(0), 0.0)
-        total, df = 0, np.zeros(len(vocabulary.number) + 1, np.int64)
+        v = known.value
+        total, df = 0, np.zeros(len(v.words) + len(v.heads), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
                 total += 1
-                if mine := {t for w in set(words_of(text)) for t in vocabulary.numbers(w)}:
-                    df[np.fromiter(mine, np.int64, len(mine))] += 1
-        at = np.flatnonzero(df[:-1])  # the last place is that of unknown words
+                df[v.terms(hashed(text.as_py()))[0]] += 1
+        at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(total, df[at]))], names=["term", "n"])
 
     rows = docs.select("text").mapInArrow(tidy_batches(count), "term long, n long")
-    total, df = 0, np.zeros(len(terms))
-    for r in rows.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r.term < 0:
-            total = r.n
+    total, df = 0, np.zeros(len(vocabulary.words) + len(vocabulary.heads))
+    sums = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    for term, n in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
+        if term < 0:
+            total = n
         else:
-            df[r.term] = r.n
+            df[term] = n
     return total, df
 
 
@@ -336,24 +355,33 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
     examples = _examples(docs, sample, int(1.5 * max_examples))
     strong = _associated(examples, least_chi2)
-    terms = sorted({w for *_, c in examples for w in c} | {t for t in strong if t[0] == "^"})
-    total, df = _document_frequencies(docs, terms)
-    idf = np.log((total + 1.0) / (df + 1.0)) + 1.0
-    is_strong = np.array([t in strong for t in terms], dtype=bool)
-    weights = idf * np.where(is_strong, 1.0, FLOOR)
-    vocabulary = Vocabulary(terms, weights, FLOOR * (np.log(total + 1.0) + 1.0))
-    counted = []
-    for _, _, _, words in examples:
-        mine: Counter = Counter()
-        for word, n in words.items():
-            for t in vocabulary.numbers(word):
-                mine[t] += n
-        counted.append(mine)
-    index = BlockMaxIndex.of([(i, y, f, *vocabulary.unit(c, 0.0)) for (i, y, f, _), c in zip(examples, counted, strict=True)], len(terms))
+    words = sorted({w for *_, c in examples for w in c})
+    heads = sorted(t[1:] for t in strong if t[0] == "^")
+    # a beginning's hash: that of a word that begins so, one letter longer
+    word_hashes, head_hashes = hashed(" ".join(words))[0], np.empty(0, U)
+    for n, (h, at) in zip(PREFIXES, hashed(" ".join(x + "_" for x in heads))[1], strict=True):
+        head_hashes = np.append(head_hashes, h[[len(heads[i]) == n for i in at.tolist()]] if len(at) else h)
+    names = {int(h): w for h, w in zip(word_hashes, words, strict=True) if w in strong}
+    for n in PREFIXES:
+        mine = [x for x in heads if len(x) == n]
+        names |= dict(zip(map(int, hashed(" ".join(x + "_" for x in mine))[1][PREFIXES.index(n)][0]), ["^" + x for x in mine], strict=True))
+    vocabulary = Vocabulary(np.unique(word_hashes), np.unique(head_hashes), np.empty(0), 0.0)
+    if len(vocabulary.words) != len(words):
+        raise ValueError("two words have the same hash")
+    marked = {i: names[int(h)] for i, h in enumerate([*vocabulary.words, *vocabulary.heads]) if int(h) in names}
+    total, df = _document_frequencies(docs, vocabulary)
+    floor = np.full(len(df), FLOOR)
+    floor[list(marked)] = 1.0
+    vocabulary.weights, vocabulary.unknown = (np.log((total + 1.0) / (df + 1.0)) + 1.0) * floor, FLOOR * (np.log(total + 1.0) + 1.0)
+    vectors = [vocabulary.unit(hashed(" ".join(c)), np.fromiter(c.values(), np.float64, len(c))) for *_, c in examples]
+    index = BlockMaxIndex.of([(i, y, f, *v) for (i, y, f, _), v in zip(examples, vectors, strict=True)], len(df))
     some = range(0, len(examples), max(1, -(-len(examples) // max_calibration)))
-    votes = [index.vote(index.nearest(*vocabulary.unit(counted[i], 0.0), k, examples[i][2])) for i in some]
+    votes = []
+    for lo in range(0, len(some), BATCH):
+        mine = some[lo : lo + BATCH]
+        votes += [index.vote(near) for near in index.nearest([vectors[i] for i in mine], k, [examples[i][2] for i in mine])]
     slope, offset = calibrate(np.array(votes), np.array([examples[i][1] for i in some], dtype=float)) if examples else (1.0, -0.1)
-    return Model(terms, weights, vocabulary.unknown, is_strong, index, slope, offset, k)
+    return Model(vocabulary, marked, index, slope, offset, k)
 
 
 RESULT = "score double, predicted int, near_ids array<long>, near_cosines array<double>, near_labels array<long>, evidence array<string>"
@@ -374,24 +402,21 @@ def classify(docs: DataFrame, model: Model, into: str | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        vocabulary, memo = Vocabulary(m.terms, m.weights, m.unknown), {}
+        memo: dict[bytes, tuple] = {}
         for batch in batches:
-            scores, near_ids, cosines, labels, evidence = [], [], [], [], []
-            for value in batch.column(at):
-                text = value.as_py()
-                key = xxhash.xxh3_128_digest(text or "")
-                if key not in memo:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    counts, rest = vocabulary.counts(words_of(text))
-                    t, w = vocabulary.unit(counts, rest)
-                    near = m.index.nearest(t, w, m.k)
-                    strong = np.flatnonzero(m.strong[t])
-                    heavy = [m.terms[t[i]] for i in strong[np.argsort(-w[strong], kind="stable")][:8]]
+            texts = [text or "" for text in batch.column(at).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(text) for text in texts]
+            if len(memo) >= MEMO:
+                memo.clear()
+            todo = list({key: text for key, text in zip(keys, texts, strict=True) if key not in memo}.items())
+            for lo in range(0, len(todo), BATCH):
+                mine = todo[lo : lo + BATCH]
+                queries = [m.vocabulary.unit(hashed(text)) for _, text in mine]
+                for (key, _), (t, w), near in zip(mine, queries, m.index.nearest(queries, m.k), strict=True):
+                    heavy = [name for _, name in sorted((-x, m.strong[i]) for i, x in zip(t.tolist(), w.tolist(), strict=True) if i in m.strong)][:8]
                     places = [p for _, p in near]
                     memo[key] = (m.score(m.index.vote(near)), m.index.ids[places].tolist(), [c for c, _ in near], m.index.labels[places].tolist(), heavy)
-                for column, value in zip((scores, near_ids, cosines, labels, evidence), memo[key], strict=True):
-                    column.append(value)
+            scores, near_ids, cosines, labels, evidence = map(list, zip(*map(memo.__getitem__, keys), strict=True)) if keys else ([], [], [], [], [])
             found = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(labels, pa.list_(pa.int64())), pa.array(evidence, pa.list_(pa.string()))]
             if into is None:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", *names])

@@ -268,24 +268,43 @@ def test_toxicity_on_held_out_rows(spark):
 @pytest.mark.parametrize("share", [0.0, 0.05, 2.0])
 def test_block_max_search_is_exact(share):
     rng = np.random.default_rng(8)
-    vocabulary = toxicity.Vocabulary([f"t{i}" for i in range(200)], rng.uniform(1, 6, 200), 1.0)
-    common = rng.permutation(200) ** 2 / 200
-    make = lambda: vocabulary.unit({int(t): int(rng.integers(1, 4)) for t in common[rng.integers(0, 200, rng.integers(0, 8))]}, float(rng.integers(0, 3)))
+    vocabulary = toxicity.Vocabulary(np.sort(toxicity.hashed(" ".join(f"t{i}" for i in range(200)))[0]), np.empty(0, np.uint64), rng.uniform(1, 6, 200), 1.0)
+    common = rng.permutation(200) ** 2 // 200
+    make = lambda: vocabulary.unit(toxicity.hashed(" ".join(f"t{t}" for t in [900, *common[rng.integers(0, 200, rng.integers(0, 8))]][rng.integers(0, 2) :])))
     examples = [(i, int(rng.integers(0, 2)), i // 3, *make()) for i in range(700)]
     index = toxicity.BlockMaxIndex.of(examples, 200, share)
     dense = np.zeros((700, 200))
     for p, i in enumerate(index.ids.tolist()):
         dense[p, examples[i][3]] = examples[i][4]
-    for i in range(60):
-        t, w = make()
-        q = np.zeros(200)
-        q[t] = w
-        s = np.round(dense @ q, 10)
-        if i % 2:
-            s[index.family == i] = -1
-        got = index.nearest(t, w, 15, i if i % 2 else -1)
-        want = np.array([i for i in np.lexsort((np.arange(700), -s))[:15] if s[i] > 0], int)
-        assert np.allclose([c for c, _ in got], s[want]) and (not got or {p for c, p in got if c > s[want[-1]] + 1e-8} == {int(p) for p in want if s[p] > s[want[-1]] + 1e-8})
+    queries = [make() for _ in range(60)]
+    for left_out in (False, True):
+        for i, got in enumerate(index.nearest(queries, 15, list(range(60)) if left_out else None)):
+            t, w = queries[i]
+            q = np.zeros(200)
+            q[t] = w
+            s = np.round(dense @ q, 10)
+            if left_out:
+                s[index.family == i] = -1
+            want = np.array([i for i in np.lexsort((np.arange(700), -s))[:15] if s[i] > 0], int)
+            assert np.allclose([c for c, _ in got], s[want]) and (not got or {p for c, p in got if c > s[want[-1]] + 1e-8} == {int(p) for p in want if s[p] > s[want[-1]] + 1e-8})
+    few = toxicity.BlockMaxIndex.of(examples[:9], 200, share)
+    assert all(len(got) <= 9 for got in few.nearest(queries, 15)) and few.nearest([], 15) == [] and toxicity.BlockMaxIndex.of([], 200).nearest(queries[:1], 15) == [[]]
+
+
+def test_hashed_words(monkeypatch):
+    texts = ["", "a", " Ünder_score été, naïve Straße abcde abcdef ab-cd 12345 x", "wörter und wörter, réeuxan réeuxlo", None, "日本語テキスト mixed日本", "y" * 3000 + " z"]
+    seen: dict = {}
+    for piece in (1 << 20, 16):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        for text in texts:
+            words = toxicity.words_of(text)
+            assert words == re.findall(r"[0-9a-z_\u0080-\U0010ffff]+", (text or "").lower())
+            h, heads = toxicity.hashed(text)
+            assert [seen.setdefault(w, x) for w, x in zip(words, h.tolist(), strict=True)] == h.tolist()
+            for n, (x, at) in zip(toxicity.PREFIXES, heads, strict=True):
+                assert at.tolist() == [i for i, w in enumerate(words) if len(w) > n]
+                assert [seen.setdefault("^" + words[i][:n], y) for i, y in zip(at.tolist(), x.tolist(), strict=True)] == x.tolist()
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_rare_toxic_words_go_with_the_label(spark):
@@ -293,8 +312,8 @@ def test_rare_toxic_words_go_with_the_label(spark):
     rows = [(i, f"common word{i} " + ("rareone " if i < 5 else "") + ("raretwo" if 5 <= i < 8 else "")) for i in range(1000)]
     labels = spark.createDataFrame([(i, int(i < 113)) for i in range(1000)], "doc_id long, toxic int")
     model = toxicity.fit(frame(spark, rows), labels)
-    assert {w for _, t in rows for w in t.split()} <= set(model.terms)
-    strong = {t for t, s in zip(model.terms, model.strong, strict=True) if s}
+    assert len(model.vocabulary.words) == len({w for _, t in rows for w in t.split()})
+    strong = set(model.strong.values())
     assert "rareone" in strong and "raretwo" not in strong
 
 
@@ -315,7 +334,7 @@ def test_toxicity_against_brute_force(spark):
         below = (a + b) * (sum(n) - a - b) * n[0] * n[1]
         if a + b >= 3 and below and max(abs(a * (n[0] - b) - b * (n[1] - a)) - sum(n) / 2, 0) ** 2 * sum(n) / below >= 24:
             strong.add(t)
-    assert strong and strong == {t for t, s in zip(model.terms, model.strong, strict=True) if s}
+    assert strong and strong == set(model.strong.values())
     held = {w for i in known for w in words[i]}
     idf = lambda t: math.log((len(rows) + 1) / (sum(t in e for e in every.values()) + 1)) + 1
     weight = {t: idf(t) * (1 if t in strong else 0.1) for t in held | strong}
