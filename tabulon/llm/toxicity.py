@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table, tidy_batches
+from .common import give_back, maybe_broadcast, table, tidy_batches
 
 WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 PREFIXES = (4, 5)
@@ -45,11 +45,6 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode() for w in WORD.findall(text.lower().encode())] if text else []
 
 
-def beginnings(word: str) -> list[str]:
-    """The first letters of a longer word; no word begins with ^."""
-    return ["^" + word[:n] for n in PREFIXES if len(word) > n]
-
-
 def signature(words: list[str]) -> tuple[int, ...]:
     """SIGNATURE least hashes of all three words in a row (of fewer, of all); equal for near copies mostly."""
     if not words:
@@ -272,49 +267,55 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * _logit(np.array(vote)) + self.offset, -30, 30))))
 
 
-def _examples(docs: DataFrame, labelled: DataFrame, n: int) -> list[tuple[int, int, int, dict[str, int]]]:
-    """Id, label, family of near copies and word counts of each labelled document, by id; of repeated ids one. Bounded by the number of examples."""
+@dataclass
+class Example:
+    doc_id: int
+    label: int
+    #: the same number for near copies
+    family: int
+    #: the words, each once, with blanks between, and how often each is there
+    words: str
+    times: np.ndarray
+
+
+def _examples(docs: DataFrame, labelled: DataFrame, n: int) -> list[Example]:
+    """The labelled documents, by id; of repeated ids the one whose words come first. Bounded by the number of examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts, signed = [], [], []
+            words, times, signed = [], [], []
             for text in batch.column(1).to_pylist():
                 mine = words_of(text)
                 found = Counter(mine)
-                words.append(list(found))
-                counts.append(list(found.values()))
+                words.append(" ".join(found))
+                times.append(np.fromiter(found.values(), np.int32, len(found)).tobytes())
                 signed.append(repr(signature(mine)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "label", "signed", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed, pa.string()), pa.array(words, pa.string()), pa.array(times, pa.binary())], names=["doc_id", "label", "signed", "words", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(labelled, 16 * n), "doc_id").select("doc_id", "text", "label")
     found: dict[int, tuple] = {}
+    for doc_id, *mine in zip(*(c.to_pylist() for c in rows.mapInArrow(tidy_batches(run), "doc_id long, label int, signed string, words string, times binary").toArrow().columns), strict=True):
+        if doc_id not in found or mine[2:] < found[doc_id][2:]:
+            found[doc_id] = mine
     families: dict[str, int] = {}
-    for r in rows.mapInArrow(tidy_batches(run), "doc_id long, label int, signed string, words array<string>, counts array<int>").toLocalIterator():
-        mine = (r.label, r.signed, dict(zip(r.words, r.counts, strict=True)))
-        if r.doc_id not in found or sorted(mine[2].items()) < sorted(found[r.doc_id][2].items()):
-            found[r.doc_id] = mine
-    return [(i, y, families.setdefault(s, len(families)), c) for i, (y, s, c) in sorted(found.items())]
-
-
-def _associated(examples: list[tuple[int, int, int, dict[str, int]]], least: float) -> set[str]:
-    """Words and beginnings that go with the label, by chi-square. Near copies of one label are no evidence of their own, and count once."""
-    held = (Counter(), Counter())
-    total = [0, 0]
-    for _, y in {(f, y) for _, y, f, _ in examples}:
-        total[y] += 1
-    seen = set()
-    for _, y, family, counts in examples:
-        if (family, y) not in seen:
-            seen.add((family, y))
-            held[y].update({t for w in counts for t in (w, *beginnings(w))})
-    n0, n1 = total
-    out = set()
-    for t in held[1].keys() | held[0].keys():
-        a, b = held[1][t], held[0][t]
-        below = (a + b) * (n1 - a + n0 - b) * n0 * n1
-        if a + b >= 3 and below > 0 and max(abs(a * (n0 - b) - b * (n1 - a)) - (n0 + n1) / 2, 0.0) ** 2 * (n0 + n1) / below >= least:
-            out.add(t)
-    return out
+    return [Example(i, y, families.setdefault(s, len(families)), w, np.frombuffer(t, np.int32).astype(np.float64)) for i, (y, s, w, t) in sorted(found.items())]
+
+
+def _associated(examples: list[Example], least: float) -> np.ndarray:
+    """Hashes of words and beginnings that go with the label, by chi-square. Near copies of one label are no evidence of their own, and count once."""
+    distinct = {(e.family, e.label): e for e in reversed(examples)}.values()
+    n0, n1 = (sum(e.label == y for e in distinct) for y in (0, 1))
+    held = []
+    for y in (0, 1):
+        mine = [np.unique(np.concatenate([h, *(x for x, _ in heads)])) for h, heads in (hashed(e.words) for e in distinct if e.label == y)]
+        held.append(np.unique(np.concatenate([np.empty(0, U), *mine]), return_counts=True))
+    every = np.union1d(held[0][0], held[1][0])
+    b, a = (np.zeros(len(every)) for _ in (0, 1))
+    for n, (h, count) in zip((b, a), held, strict=True):
+        n[np.searchsorted(every, h)] = count
+    below = (a + b) * (n1 - a + n0 - b) * n0 * n1
+    off = np.maximum(np.abs(a * (n0 - b) - b * (n1 - a)) - (n0 + n1) / 2, 0.0)
+    return every[(a + b >= 3) & (below > 0) & (off**2 * (n0 + n1) >= least * below)]
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
@@ -355,32 +356,34 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
     examples = _examples(docs, sample, int(1.5 * max_examples))
     strong = _associated(examples, least_chi2)
-    words = sorted({w for *_, c in examples for w in c})
-    heads = sorted(t[1:] for t in strong if t[0] == "^")
-    # a beginning's hash: that of a word that begins so, one letter longer
-    word_hashes, head_hashes = hashed(" ".join(words))[0], np.empty(0, U)
-    for n, (h, at) in zip(PREFIXES, hashed(" ".join(x + "_" for x in heads))[1], strict=True):
-        head_hashes = np.append(head_hashes, h[[len(heads[i]) == n for i in at.tolist()]] if len(at) else h)
-    names = {int(h): w for h, w in zip(word_hashes, words, strict=True) if w in strong}
-    for n in PREFIXES:
-        mine = [x for x in heads if len(x) == n]
-        names |= dict(zip(map(int, hashed(" ".join(x + "_" for x in mine))[1][PREFIXES.index(n)][0]), ["^" + x for x in mine], strict=True))
-    vocabulary = Vocabulary(np.unique(word_hashes), np.unique(head_hashes), np.empty(0), 0.0)
-    if len(vocabulary.words) != len(words):
-        raise ValueError("two words have the same hash")
-    marked = {i: names[int(h)] for i, h in enumerate([*vocabulary.words, *vocabulary.heads]) if int(h) in names}
+    known: list[np.ndarray] = [np.empty(0, U)]
+    names: dict[int, str] = {}
+    for e in examples:
+        h, heads = hashed(e.words)
+        known.append(h)
+        split = None
+        for n, x, at in ((0, h, np.arange(len(h))), *((n, *found) for n, found in zip(PREFIXES, heads, strict=True))):
+            for i in np.flatnonzero(np.isin(x, strong)).tolist():
+                split = split or e.words.split(" ")
+                names[int(x[i])] = "^" + split[at[i]][:n] if n else split[at[i]]
+        if len(known) >= 500:
+            known = [np.unique(np.concatenate(known))]
+    vocabulary = Vocabulary(np.unique(np.concatenate(known)), np.array(sorted(h for h, name in names.items() if name[0] == "^"), U), np.empty(0), 0.0)
+    marked = {i: names[h] for i, h in enumerate([*vocabulary.words.tolist(), *vocabulary.heads.tolist()]) if h in names}
     total, df = _document_frequencies(docs, vocabulary)
     floor = np.full(len(df), FLOOR)
     floor[list(marked)] = 1.0
     vocabulary.weights, vocabulary.unknown = (np.log((total + 1.0) / (df + 1.0)) + 1.0) * floor, FLOOR * (np.log(total + 1.0) + 1.0)
-    vectors = [vocabulary.unit(hashed(" ".join(c)), np.fromiter(c.values(), np.float64, len(c))) for *_, c in examples]
-    index = BlockMaxIndex.of([(i, y, f, *v) for (i, y, f, _), v in zip(examples, vectors, strict=True)], len(df))
+    vectors = [vocabulary.unit(hashed(e.words), e.times) for e in examples]
+    index = BlockMaxIndex.of([(e.doc_id, e.label, e.family, *v) for e, v in zip(examples, vectors, strict=True)], len(df))
     some = range(0, len(examples), max(1, -(-len(examples) // max_calibration)))
     votes = []
     for lo in range(0, len(some), BATCH):
         mine = some[lo : lo + BATCH]
-        votes += [index.vote(near) for near in index.nearest([vectors[i] for i in mine], k, [examples[i][2] for i in mine])]
-    slope, offset = calibrate(np.array(votes), np.array([examples[i][1] for i in some], dtype=float)) if examples else (1.0, -0.1)
+        votes += [index.vote(near) for near in index.nearest([vectors[i] for i in mine], k, [examples[i].family for i in mine])]
+    slope, offset = calibrate(np.array(votes), np.array([examples[i].label for i in some], dtype=float)) if examples else (1.0, -0.1)
+    del vectors, examples
+    give_back()
     return Model(vocabulary, marked, index, slope, offset, k)
 
 
