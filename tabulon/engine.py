@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import external
-from .errors import QueryError, ServerBusy
+from .errors import QueryError, QueryTimeout, ServerBusy
 from .lang.nodes import Call, ColumnRef, Literal, Node, Query, TableRef, rebuilt, children
 from .lang.parser import parse
 from .model.schema import Format, Measure, Model, Relationship
@@ -147,12 +147,20 @@ class Engine:
         if not self.lanes.acquire(timeout=self.admission_s):
             raise ServerBusy("execute", "all query lanes are busy")
         group = f"tabulon-{threading.get_ident()}-{time.monotonic_ns()}"
-        late = threading.Timer(self.timeout_s, lambda: self.spark.sparkContext.cancelJobGroup(group))
+        over = threading.Event()
+        late = threading.Timer(self.timeout_s, lambda: (over.set(), self.spark.sparkContext.cancelJobGroup(group)))
         try:
             self.spark.sparkContext.setJobGroup(group, text[:200], interruptOnCancel=True)
             late.start()
             df = self.query(text, filters)
             return {"columns": df.columns, "rows": [[_plain(v) for v in r] for r in df.toLocalIterator()]}
+        except QueryError:
+            raise
+        except Exception as error:
+            if over.is_set():
+                raise QueryTimeout("execute", f"cancelled after {self.timeout_s:g} s") from error
+            said = next((line.strip() for line in str(error).splitlines() if line.strip()), type(error).__name__)
+            raise QueryError("execute", said) from error
         finally:
             late.cancel()
             self.lanes.release()

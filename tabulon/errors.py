@@ -19,3 +19,7 @@ class AmbiguousPathError(QueryError):
 
 class ServerBusy(QueryError):
     """No query lane came free in time."""
+
+
+class QueryTimeout(QueryError):
+    """The time limit was reached, and the query was cancelled."""

@@ -9,6 +9,7 @@ joined to the cells.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,9 @@ def _computed(e, a: Node) -> GroupKey:
     if len(needed) != 1:
         raise QueryError("emit", "a computed group must name the columns of one table", a.at)
     (t,) = needed
-    name = f"Group{len(e._virtual) + 1}"
+    # no column of the model may have the name, as it is one of the table's from here on
+    taken = {c.lower() for table in e.model.tables.values() for c in table.df.columns} | {x.lower() for _, x in e._virtual}
+    name = next(x for i in count(1) if (x := f"Group{i}").lower() not in taken)
     e._virtual[(t, name)] = a
     e.mcol(t, name)
     return GroupKey((t, name), name, a)

@@ -536,11 +536,14 @@ class Evaluator:
         conditions = [_same(self.mcol(*k.of), k.col) for k in keys]
         for f in waiting:
             if f.kind == "window":
+                # distinct bounds meet days first, then rows by their day, and points by their bounds. There are no more days than dates: under 30 MB
                 t, c = f.columns[0]
-                day = fresh("d")
+                day, own = fresh("d"), {x: fresh("w") for x in f.corr}
+                payload = tuple(own.get(x, x) if isinstance(x, str) else x for x in f.payload)
                 days = self.base(t).select(F.to_date(self.mcol(t, c)).alias(day)).where(F.col(day).isNotNull()).distinct()
-                seen = seen.join(days, self.time.near(F.col(day), f.payload))
-                conditions += [F.to_date(self.mcol(t, c)) == F.col(day), self.time.inside(F.col(self.mcol(t, c)), f.payload)]
+                windows = pts.distinct(f.corr).select(*[F.col(x).alias(y) for x, y in own.items()]).join(F.broadcast(days), self.time.near(F.col(day), payload))
+                df = df.join(windows, (F.to_date(self.mcol(t, c)) == F.col(day)) & self.time.inside(F.col(self.mcol(t, c)), payload))
+                conditions += [_same(x, y) for x, y in own.items()]
             elif f.kind == "expr":
                 conditions.append(self.row_column(f.payload))
             elif f.kind == "semi":

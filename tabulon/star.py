@@ -97,7 +97,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "count_rows_of_table": ('EVALUATE ROW("n", COUNTROWS(FILTER(orders, orders[o_totalprice] > 200000)))', "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 200000"),
     "group_only": ("EVALUATE SUMMARIZECOLUMNS(cust_region[r_name], customer[c_mktsegment])", "SELECT DISTINCT r_name, c_mktsegment FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"),
     "measure_as_group": ('EVALUATE SUMMARIZECOLUMNS(orders[o_orderstatus], [Order Value], "n", [Order Count])', 'SELECT o_orderstatus, sum(o_totalprice) AS "Order Value", CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1'),
-    "computed_group": ('EVALUATE SELECTCOLUMNS(SUMMARIZECOLUMNS(YEAR(orders[o_orderdate]), "n", COUNTROWS(orders)), "n", [n])', "SELECT CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY year(o_orderdate)"),
+    "computed_group": ('EVALUATE SELECTCOLUMNS(SUMMARIZECOLUMNS(YEAR(orders[o_orderdate]), "n", COUNTROWS(orders)), "y", [Group1], "n", [n])', "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY year(o_orderdate)"),
     "blank_rows_pruned": ('EVALUATE SUMMARIZECOLUMNS(part[p_brand], "x", CALCULATE(SUM(lineitem[l_quantity]), part[p_size] > 48))', "SELECT p_brand, sum(l_quantity) AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 48 GROUP BY 1"),
     # filters
     "treatas_values": ('EVALUATE SUMMARIZECOLUMNS(customer[c_mktsegment], TREATAS({"ASIA", "EUROPE"}, cust_region[r_name]), "rev", [Revenue])', f"SELECT c_mktsegment, {REV} AS rev FROM {LINES} WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY 1"),
