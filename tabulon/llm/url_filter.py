@@ -59,29 +59,30 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
     """
     new = ["host", "path", "rule", "verdict"]
     host, path = url_parts(F.col(url))
-    u = pages.withColumns({"__h": host, "__p": path}).drop(*new).withColumnsRenamed({"__h": "host", "__p": "path"})
+    kept = [c for c in pages.columns if c not in new]
+    # all columns of its own have names that begin with __url_
+    u = pages.withColumns({"__url_host": host, "__url_path": path}).select(*[F.col(f"`{c}`") for c in kept], "__url_host", "__url_path")
+    named = [F.col(f"`{c}`") for c in kept]
+    h, p, key = F.col("__url_host"), F.col("__url_path"), F.concat("rule_host", "rule_path")
     rules = listed.where("host is not null and path is not null").groupBy(ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("rule_verdict"))
     # a driver-side list of the shapes: at most 255 host labels times the distinct path lengths
     shapes = rules.select(F.size(F.split("rule_host", "\\.")).alias("nl"), F.length("rule_path").alias("pl")).distinct().collect()
     n_rules, n_bytes = rules.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("rule_host") + F.length("rule_path") + 64), F.lit(0))).first()
     if not shapes:
-        return u.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return u.select(*named, h.alias("host"), p.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     bloom, n_blocks = build_filter(rules, n_rules)
-    labels = F.size(F.split("host", "\\."))
-    probes = F.array(*[
-        F.when((labels >= s.nl) & (F.length("path") >= s.pl), F.struct(F.substring_index("host", ".", -s.nl).alias("rule_host"), F.substring("path", 1, s.pl).alias("rule_path")))
-        for s in sorted(shapes)
-    ])
-    urls = u.select("host", "path", F.explode(F.array_compact(probes)).alias("c")).select("host", "path", "c.*")
-    key = F.concat("rule_host", "rule_path")
+    # one literal for all shapes, of which a URL takes those that it is long enough for
+    every = F.array(*[F.struct(F.lit(s.nl).alias("nl"), F.lit(s.pl).alias("pl")) for s in sorted(shapes)])
+    fitting = F.filter(every, lambda s: (s.nl <= F.size(F.split(h, "\\."))) & (s.pl <= F.length(p)))
+    probes = F.transform(fitting, lambda s: F.struct(F.call_function("substring_index", h, F.lit("."), -s.nl).alias("rule_host"), F.substr(p, F.lit(1), s.pl).alias("rule_path")))
+    urls = u.select(h, p).where(h != "").select(h, p, F.explode(probes).alias("c")).select(h, p, "c.*")
     possible = urls.withColumn("block", _block(key, n_blocks)).join(maybe_broadcast(bloom, n_blocks * 64), "block")
     for w in range(WORDS):
         possible = possible.where(F.col(f"w{w}").bitwiseAND(_mask(key, w)) == _mask(key, w))
-    exact = possible.select("host", "path", "rule_host", "rule_path").distinct().join(rules if n_bytes > BROADCAST_BYTES else F.broadcast(rules), ["rule_host", "rule_path"])
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length(key).alias("n"), key.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
-    out = u.join(best, ["host", "path"], "left")
-    keep = [c for c in u.columns if c not in ("host", "path")]
-    return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    exact = possible.select(h, p, "rule_host", "rule_path").distinct().join(rules if n_bytes > BROADCAST_BYTES else F.broadcast(rules), ["rule_host", "rule_path"])
+    best = exact.groupBy(h, p).agg(F.max(F.struct(F.length(key).alias("n"), key.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__url_best"))
+    out = u.join(best, ["__url_host", "__url_path"], "left")
+    return out.select(*named, h.alias("host"), p.alias("path"), F.col("__url_best.rule").alias("rule"), F.coalesce("__url_best.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query, as (host, path, verdict).
