@@ -192,7 +192,8 @@ def identify(rows: DataFrame, model: LanguageModel, keys: list[str], body: str,
     likely, in nats a trigram, the text is in its best language than if all trigrams were alike - under 0 the text
     is in no language that the model knows. Null or empty texts have no text evidence (text_lang null, n_trigrams 0)
     and are judged by the rest; null or unknown evidence is left out. Without languages in the model lang is null.
-    Keys are not looked at, so ties and repeated rows are judged alike.
+    Keys are not looked at, so repeated rows are judged alike. An empty table has no rows; more columns are not looked
+    at, and no name of a key clashes with a column of the operator's own.
     """
     names = model.languages
     n = len(names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import shared_dir, table, tidy_batches, written
 from .tokens import ByteBpe, Vocabulary, default_vocabulary
 
 KEYS = ("source", "lang", "version")
@@ -41,7 +41,7 @@ class TokenRollup:
         if self._fs.exists(self._at(f"{self.path}/{name}")):
             return False
         aside = f"{self.path}/_{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(aside)
+        rows.write.parquet(aside)
         if self._fs.exists(self._at(f"{self.path}/{name}")) or not self._fs.rename(self._at(aside), self._at(f"{self.path}/{name}")):
             self._fs.delete(self._at(aside), True)
             return False
@@ -107,9 +107,10 @@ class TokenRollup:
 
 
 def count_tokens(docs: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFrame:
-    """`docs` (any columns, text) without text and with a column tokens_<version> for each vocabulary; null text has none."""
-    keys = [c for c in docs.columns if c != "text" and not c.startswith("tokens_")]
+    """`docs` (any columns, text) without text and with a column tokens_<version> for each vocabulary; null and empty texts
+    have no tokens, repeated rows are counted each, an empty table has no rows. Columns of the new names are replaced."""
     versions = list(vocabularies)
+    keys = [c for c in docs.columns if c != "text" and c not in {f"tokens_{v}" for v in versions}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = [ByteBpe(vocabularies[v]) for v in versions]
@@ -118,7 +119,7 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *(pa.array([e.count(t) if t else 0 for t in texts], pa.int64()) for e in encoders)], names=[*keys, *(f"tokens_{v}" for v in versions)])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema.fields] + [f"tokens_{v} long" for v in versions])
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+    return docs.select(*keys, "text").mapInArrow(tidy_batches(run), schema)
 
 
 def insert(version: str, tokens: str | Column) -> list[Column]:

@@ -49,6 +49,16 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(frame(spark, rows[:2], "page_id long, url string, host string"), spark.createDataFrame([], "host string, path string, verdict string")).where("verdict = 'allow'").count() == 2
 
 
+def test_url_filter_beside_columns_of_its_names(spark):
+    """Extra columns named like what the operator makes itself, and a list of many shapes."""
+    names = ["best", "rule_host", "rule_path", "rule_verdict", "block", "c", "w0", "nl", "n", "verdict", "a.b"]
+    pages = spark.createDataFrame([(1, "http://x.net/a/b", *names), (2, None, *names), (2, None, *names)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
+    listed = spark.createDataFrame([("net", "/", "block"), *[("a." * i + "net", "/" + "p" * j, "allow") for i in range(6) for j in range(40)]], "host string, path string, verdict string")
+    got = url_filter.judge_urls(pages, listed)
+    assert [c for c in got.columns if c not in ("host", "path", "rule", "verdict")] == ["page_id", "url", *[n for n in names if n != "verdict"]]
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict, r["a.b"]) for r in got.collect()) == [(1, "x.net", "/a/b", "net/", "block", "a.b")] + [(2, "", "", None, "allow", "a.b")] * 2
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.lit("/a").alias("path"), F.lit("block").alias("verdict"))
     pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit("/abc")).alias("url"))
@@ -212,6 +222,24 @@ def test_topk(spark):
     assert topk.topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_parts_of_clusters_are_passed_over(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 5)) * 40
+    rows = [(i, [float(x) for x in np.round(centres[i % 11] + rng.normal(size=5), 2)]) for i in range(900)] + [(2000 + i, [1.5, 2.5, -3.0, 4.0, 40.0]) for i in range(300)]
+    names = ["part", "block", "dim", "cell", "least", "rank", "score", "id", "v"]
+    df = spark.createDataFrame([(i, v, *names) for i, v in rows], "vec_id long, embedding array<float>, " + ", ".join(f"{n} string" for n in names))
+    queries = {i for i, _ in rows if i % 20 == 0}
+    vectors = topk.integer_vectors(df, "vec_id", "embedding", 64.0)
+    asked = vectors.where("id % 20 = 0")
+    index = topk.written(topk.build_index(vectors, len(rows), part=60, page=8), "test-index")
+    parts = index.where("parent = -1").count()
+    got = sorted(tuple(r) for r in topk.search_index(index, asked, len(queries), 10, block=30).collect())
+    assert got == brute_topk(rows, queries, 10)
+    bounds = spark.createDataFrame([(q, float(s)) for q, r, _, s in got if r == 10], "id long, least double")
+    visited = topk._routed(index, asked, bounds, topk.FIRST).count()
+    assert parts >= 20 and visited < 0.6 * len(queries) * (parts - topk.FIRST)
+
+
 def test_mtree_bounds_hold_and_save_work():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8)) * 300
@@ -529,6 +557,37 @@ def test_licenses(spark):
         licenses.scan(frame(spark, rows), {"short": "one"})
 
 
+def whole_alignment(text, template):
+    """Equal words of the best local alignment of a template, without a band."""
+    score = np.zeros((len(text) + 1, 2), int)
+    best = (0, 0)
+    for w in template:
+        new = np.zeros_like(score)
+        for i, x in enumerate(text, 1):
+            new[i] = max((score[i - 1, 0] + (2 if x == w else -1), score[i - 1, 1] + (x == w)), (score[i, 0] - 1, score[i, 1]), (new[i - 1, 0] - 1, new[i - 1, 1]), (0, 0))
+        score = new
+        best = max(best, tuple(score[score[:, 0].argmax()].tolist()))
+    return best[1]
+
+
+def test_license_recall(spark):
+    """Of edited templates that an alignment without a band covers to 0.75 or more, 0.95 at least are found."""
+    rng = random.Random(12)
+    rows, of = [], []
+    for name, text in sorted(licenses.TEMPLATES.items()):
+        words = licenses.words_of(text)
+        for rate in (0.0, 0.04, 0.08, 0.12, 0.16):
+            edited = []
+            for w in words:
+                x = rng.random()
+                edited += [] if x < rate / 3 else ["changed"] if x < 2 * rate / 3 else [w, "added"] if x < rate else [w]
+            rows.append((len(rows), prose(rng, 8) + " " + " ".join(edited) + " " + prose(rng, 8)))
+            of.append(name)
+    found = {(r.doc_id, r.license) for r in licenses.scan(frame(spark, rows)).collect()}
+    due = [(i, n) for (i, t), n in zip(rows, of, strict=True) if whole_alignment(licenses.words_of(t), w := licenses.words_of(licenses.TEMPLATES[n])) >= 0.75 * len(w)]
+    assert len(due) >= 60 and len([x for x in due if x in found]) >= 0.95 * len(due)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(100):
