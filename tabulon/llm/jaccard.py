@@ -564,8 +564,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning:
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     # one row for each set first, so that a set that a third of all rows have is one row in what follows
-    of_set = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-    of_root = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_set = written(info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root")), "of-sets")
+    # in a table of its own, so that the sets of a large component needn't come to where its least id was found
+    of_root = written(of_set.groupBy("root").agg(F.min("least").alias("component_id")), "of-roots")
     named = of_set.join(of_root, "root").select("set_id", "component_id")
     return info.join(named, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
