@@ -365,6 +365,8 @@ def _documents(signed: DataFrame) -> DataFrame:
     return signed.where("kind = 3").select("sets", "sizes", "counts", "tokens").mapInArrow(tidy_batches(run), "doc_id long, n_shingles long, set_id long")
 
 
+#: Pairs of rows up to which a shingle's are counted one by one; pairs that are counted at once, about.
+FEW_PAIRS, PAIRS_AT_ONCE = 2_000, 4 << 20
 EDGES = "bucket long, family long, hub long, hub_n long, member long, member_n long"
 
 
@@ -457,15 +459,27 @@ def _across(members: DataFrame, sets: DataFrame, width: int, share: int, tuning:
         tokens = [expand(t, width) for t in both["tokens"]]
         rows = np.repeat(np.arange(len(both)), [len(t) for t in tokens])
         _, column = np.unique(np.concatenate(tokens), return_inverse=True)
-        # only what is on both sides can be shared
-        both_sides = (np.bincount(column[rows < len(left)], minlength=column.max() + 1) > 0) & (np.bincount(column[rows >= len(left)], minlength=column.max() + 1) > 0)
-        kept = both_sides[column]
-        rows, column = rows[kept], (np.cumsum(both_sides) - 1)[column[kept]]
         order = np.argsort(column, kind="stable")
         rows, column = rows[order], column[order]
-        shared = np.zeros((len(left), len(right)), np.float32)
+        is_left, n_columns, n_right = rows < len(left), column[-1] + 1, len(right)
+        n_pairs = np.bincount(column[is_left], minlength=n_columns) * np.bincount(column[~is_left], minlength=n_columns)
+        shared = np.zeros((len(left), n_right), np.float32)
+        # shingles of few rows: their pairs are counted one by one, some at once
+        few = (n_pairs[column] > 0) & (n_pairs[column] <= FEW_PAIRS)
+        lrows, lcolumn, rrows, rcolumn = rows[few & is_left], column[few & is_left], rows[few & ~is_left] - len(left), column[few & ~is_left]
+        begin, end = np.searchsorted(rcolumn, lcolumn), np.searchsorted(rcolumn, lcolumn, side="right")
+        done = np.append(0, np.cumsum(end - begin))
+        for at in range(0, int(done[-1]), PAIRS_AT_ONCE):
+            part = slice(*np.searchsorted(done, [at, at + PAIRS_AT_ONCE]).tolist())
+            n = (end - begin)[part]
+            mine = np.arange(n.sum()) + np.repeat(begin[part] - np.cumsum(n) + n, n)
+            shared += np.bincount(np.repeat(lrows[part], n) * n_right + rrows[mine], minlength=shared.size).reshape(shared.shape)
+        # shingles of many rows: products of matrices
+        many = n_pairs > FEW_PAIRS
+        kept = many[column]
+        rows, column = rows[kept], (np.cumsum(many) - 1)[column[kept]]
         step = 4096
-        for lo in range(0, int(both_sides.sum()), step):
+        for lo in range(0, int(many.sum()), step):
             part = slice(*np.searchsorted(column, [lo, lo + step]))
             m = np.zeros((len(both), step), np.float32)
             m[rows[part], column[part] - lo] = 1

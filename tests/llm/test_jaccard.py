@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tabulon.llm import jaccard
 from tabulon.llm.jaccard import Tuning, WordHashes, components, from_planes, jaccard_components, planes, prefix_signatures, shingles, words_of
 
 
@@ -60,6 +61,16 @@ def test_against_all_pairs(spark, seed, tuning):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_families_by_matrices(spark, monkeypatch, few):
+    """Shingles of more rows than that are counted by products of matrices, with the same result."""
+    monkeypatch.setattr(jaccard, "FEW_PAIRS", few)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 7)
+    rows = corpus(7, 150)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tuning=Tuning(frequent=1, groups=2, hot=3, block=500, range=900, compared=8)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
 def test_edges_of_the_contract(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a  B"), (5, "a  B"), (6, "a b c"), (8, long), (7, long + " end"), (9, "a\x0bb"), (12, " a b")]
