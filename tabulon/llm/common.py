@@ -7,6 +7,7 @@ import functools
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -92,17 +93,28 @@ def tidy_batches(run: Callable) -> Callable:
     return tidied
 
 
+#: Seconds between two times that memory is given back after groups, of which a task may have thousands; when it last was.
+PAUSE = 0.3
+_given = [0.0]
+
+
+def _give_back_now_and_then() -> None:
+    if time.monotonic() - _given[0] >= PAUSE:
+        give_back()
+        _given[0] = time.monotonic()
+
+
 def tidy_group(run: Callable) -> Callable:
-    """For grouped functions: memory is given back after a group."""
+    """For grouped functions: memory is given back after a group, but not after each of many small ones."""
 
     def one(pdf):
         out = run(pdf)
-        give_back()
+        _give_back_now_and_then()
         return out
 
     def two(key, pdf):
         out = run(key, pdf)
-        give_back()
+        _give_back_now_and_then()
         return out
 
     return two if run.__code__.co_argcount == 2 else one
