@@ -11,6 +11,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
 
 from .errors import QueryError
+from .external import ExternalFilter
 from .lang.parser import KEYWORDS
 from .model.schema import Format, Model
 
@@ -74,6 +75,37 @@ def build_query(model: Model, fields: Iterable[Field], filters: dict[tuple[str,
     return "EVALUATE " + text
 
 
+def slicer_query(model: Model, table: str, column: str, filters: dict[tuple[str, str], list] | None = None, measure: tuple[str, str] | None = None) -> str:
+    """The values that a slicer offers, in order: those left by the other slicers' filters (its own is left out), and with a
+    measure only those for which it has a value."""
+    others = {k: v for k, v in (filters or {}).items() if (k[0].lower(), k[1].lower()) != (table.lower(), column.lower())}
+    fields = [Field(table, column, "VALUES"), *([Field(*measure)] if measure else [])]
+    return build_query(model, fields, others, [(column, False)])
+
+
+def level_queries(model: Model, rows: list[Field], values: list[Field], filters: dict[tuple[str, str], list] | None = None) -> list[str]:
+    """A query for each level of a pivot's subtotals: for the grand total, the first row field, the first two, and so on.
+    Each level is aggregated by itself, so averages and distinct counts of a level are right."""
+    return [build_query(model, [*rows[:n], *values], filters) for n in range(len(rows) + 1)]
+
+
+def marks_filter(marks: list[dict[tuple[str, str], Any]]) -> list[ExternalFilter]:
+    """What a selection of marks filters elsewhere: each mark has a value for some columns, the same for all. One column
+    gives `in`, several columns of a table `in_tuples`, columns of several tables a filter for each table."""
+    if not marks:
+        return []
+    tables: dict[str, list[str]] = {}
+    for t, c in marks[0]:
+        tables.setdefault(t, []).append(c)
+    if any(m.keys() != marks[0].keys() for m in marks):
+        raise QueryError("filters", "the marks name different columns")
+    out = []
+    for t, columns in tables.items():
+        picked = tuple(dict.fromkeys(tuple(m[t, c] for c in columns) for m in marks))
+        out.append(ExternalFilter(t, columns[0], "in", tuple(p[0] for p in picked)) if len(columns) == 1 else ExternalFilter(t, op="in_tuples", values=picked, columns=tuple(columns)))
+    return out
+
+
 def sort_key(v: Any, descending: bool = False):
     """Blanks are last both ways; numbers by size, text without regard to case."""
     if v is None:

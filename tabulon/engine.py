@@ -24,6 +24,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, model: Model | None = None, lanes: int = 4, admission_s: float = 5.0, timeout_s: float = 60.0) -> None:
         self.spark, self._model, self._lock = spark, model or Model(), threading.RLock()
+        self._seen: dict[int, tuple[int, int]] = {}
         self.lanes, self.admission_s, self.timeout_s = threading.BoundedSemaphore(lanes), admission_s, timeout_s
 
     @property
@@ -45,6 +46,17 @@ class Engine:
     def add_parquet(self, name: str, path: str) -> None:
         self.add_table(name, self.spark.read.parquet(path))
 
+    def refresh(self, lake) -> bool:
+        """Take over a lake's tables if it has a new snapshot since the last call; whether anything was taken. Measures and
+        relationships stay; tables that are gone from the lake stay as they were last read."""
+        now = lake.snapshot()
+        if self._seen.get(id(lake)) == now:
+            return False
+        for name in lake.tables():
+            self.add_table(name, lake.read(name))
+        self._seen[id(lake)] = now
+        return True
+
     def relate(self, from_table: str, from_column: str, to_table: str, to_column: str, bidirectional: bool = False) -> Relationship:
         return self._change(lambda m: m.relate(from_table, from_column, to_table, to_column, bidirectional))
 

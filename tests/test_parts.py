@@ -182,7 +182,7 @@ def test_lake(spark, tmp_path):
     with pytest.raises(QueryError):
         lake.import_files("new", ["good.parquet"], create=False)
     before = lake.read("t")
-    assert lake.compact() == "merged 2 files" and lake.read("t").count() == 3 and before.count() == 3 and len(lake._state()[2]["t"]) == 1
+    assert lake.compact() == "merged 2 files" and lake.history(1)[0]["note"] == "merged 2 files" and lake.read("t").count() == 3 and before.count() == 3 and len(lake._state()[2]["t"]) == 1
     assert lake.expire(0, -1) == "forgot 3 snapshots, deleted 2 files" or "deleted 2 files" in lake.expire(0, -1) or lake.read("t").count() == 3
     lake.busy.acquire()
     assert lake.compact() == "skipped: busy"
