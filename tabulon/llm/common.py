@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -24,9 +25,11 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of this machine's own only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset one of this machine's own, if there is no other machine."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
