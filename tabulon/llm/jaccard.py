@@ -4,7 +4,7 @@ A document's set is its distinct word shingles; two documents link when 100 * in
 is a parameter). Documents of the same set are one *set* from the start, so copies never meet each other in pairs.
 
 Order and classes. A shingle in one set only is class 0, one in up to `frequent` sets class 1, others class 2. The
-global order is by the number of sets, in powers of two, then by hash, so rare shingles come first. Of a set of n shingles at least t = ceil(0.75 n)
+global order is by the number of sets, in powers of two, then by a hash of those sets, so rare shingles come first. Of a set of n shingles at least t = ceil(0.75 n)
 are in any linked set, so n - t of its shingles can be missing there. Its prefix is extended until more than n - t
 losses are needed to break all of its signatures: a single shingle of class 0 or 1 breaks with one loss; class-2
 shingles are dealt into `groups` subclasses by hash, all *pairs* in a subclass are signatures, and m shingles there
@@ -14,8 +14,11 @@ the prefix, and a set with more than n - t of them has no link at all.
 
 Steps. (1) Documents are cut into blocks; a block's shingles go, packed by hash range, to where they are counted, each
 with its set's number in the block (a posting has 6 bytes at any size of the input); shingles of one posting end
-there. (2) The others come back by block; prefixes and signatures are made. (3) Sets with a common signature make a
-bucket; buckets with the same members are one. Each member is verified against its bucket's hub. (4) Where a member
+there. (2) The others come back by block, each with a hash of the sets that hold it, its holders; prefixes and signatures
+are made, of holders in place of shingles, so shingles of the same sets make one signature. (3) Sets with a common
+signature make a bucket; each member is verified against its bucket's hub. Signatures are dealt to ranges by their least
+holder, so that those of near copies meet in one range or a few, where a pair of hub and member is one row: however many
+ranges there are, a set isn't sent once from each. (4) Where a member
 failed, the buckets of one hub are a family: its members outside of the family's largest component are compared with
 all its members, block against block - so no link between components is lost, and no pairs become rows. (5)
 Components by alternating large and small stars.
@@ -216,9 +219,9 @@ def _rows(group: pa.Table) -> list[dict]:
     return group.to_pylist()
 
 
-def _open(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The row's place in `rows`, number of the set in its block, token and order of each posting."""
-    owner, at, tokens, classes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.uint8)]
+def _open(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row's place in `rows`, number of the set in its block, token, order and holders of each posting."""
+    owner, at, tokens, classes, holders = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.uint8)], [np.empty(0, U)]
     for i, r in enumerate(rows):
         if r["base"] == ABOUT or r["block"] == MARK:
             continue
@@ -227,7 +230,8 @@ def _open(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         at.append(mine)
         tokens.append(expand(r["tokens"], 8) if r["base"] == HEAVY else expand(r["tokens"], 5) | (U(r["base"]) << U(40)))
         classes.append(np.frombuffer(r["classes"], np.uint8) if r["classes"] else np.full(len(mine), LAST, np.uint8))
-    return tuple(np.concatenate(a) for a in (owner, at, tokens, classes))
+        holders.append(expand(r["ids"], 5) if r["ids"] else tokens[-1] & LOW40)
+    return tuple(np.concatenate(a) for a in (owner, at, tokens, classes, holders))
 
 
 def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
@@ -235,7 +239,8 @@ def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _classify(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that have two or more, with their class, by block."""
+    """Postings of shingles that have two or more, with their class and holders (as ids), by block. Holders: 20 bits of the least hash of a set that holds the shingle,
+    20 bits of all those sets' hashes; a heavy shingle's are not known, it stands for them itself. Shingles of more than TOGETHER sets differ in the former too."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = _rows(group)
@@ -244,7 +249,7 @@ def _classify(postings: DataFrame) -> DataFrame:
             return group
         marks = [np.frombuffer(r["tokens"], U) for r in rows if r["block"] == MARK]
         heavy = np.unique(np.concatenate(marks)) if marks else np.empty(0, U)
-        owner, at, tokens, _ = _open(rows)
+        owner, at, tokens, _, _ = _open(rows)
         order = np.argsort(tokens)
         t = tokens[order]
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, np.int64)
@@ -252,33 +257,49 @@ def _classify(postings: DataFrame) -> DataFrame:
         is_heavy = np.isin(t[first], heavy)
         keep = np.repeat((runs > 1) | is_heavy, runs)
         kinds = np.repeat(np.where(is_heavy, LAST, np.ceil(np.log2(np.maximum(runs, 1)))).astype(np.uint8), runs)[keep]
+        place = mix(mix(np.array([r["block"] for r in rows], np.int64).astype(U))[owner] + at.astype(U))
+        every, least = (f.reduceat(place[order], first) if len(first) else place for f in (np.add, np.minimum))
+        apart = every % np.maximum(runs[: len(first)] // TOGETHER, 1).astype(U)
+        held = (mix(least + apart) >> U(44) << U(20)) | (mix(every) >> U(44))
+        holders = np.repeat(np.where(is_heavy, t[first] & LOW40, held), runs)[keep]
         chosen = order[keep]
         back = np.lexsort((at[chosen], owner[chosen]))
-        chosen, kinds = chosen[back], kinds[back]
+        chosen, kinds, holders = chosen[back], kinds[back], holders[back]
         who = owner[chosen]
         starts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.empty(0, np.int64)
         out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(who)], strict=True) if len(who) else ():
             block, mine = rows[int(who[lo])]["block"], chosen[lo:hi]
-            out.append([-1 - block, block, key, planes(at[mine]), squeeze(tokens[mine], 5), kinds[lo:hi].tobytes(), b"", b""])
+            out.append([-1 - block, block, key, planes(at[mine]), squeeze(tokens[mine], 5), kinds[lo:hi].tobytes(), squeeze(holders[lo:hi], 5), b""])
         return pa.Table.from_batches([_arrow(out)])
 
     return postings.groupBy("key").applyInArrow(tidy_group(run), POSTINGS)
 
 
-def prefix_signatures(n: int, tokens: np.ndarray, n_rare: int, share: int, groups: int) -> np.ndarray:
-    """Signatures of a set of n shingles; `tokens`: those in two sets or more in global order, the first `n_rare` of class 1."""
+#: Sets with a shingle up to which its signatures go where those of the same least holder go (with more sets to some places), and places of pairs.
+TOGETHER, PLACES = 1024, 4
+
+
+def _dealt(least: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    """Signatures with the 20 bits of `least` as the high ones, by which they are dealt to ranges."""
+    return (least << U(44)) | (signatures >> U(20))
+
+
+def prefix_signatures(n: int, tokens: np.ndarray, n_rare: int, share: int, groups: int, holders: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a set of n shingles; `tokens`: those in two sets or more in global order, the first `n_rare` of class 1; `holders`: what signatures are made of, if not tokens."""
     least = -(-share * n // 100)
     need = n - least + 1 - (n - len(tokens))  # losses that the listed shingles must stand, class 0 has taken the rest
     if need <= 0:
         return np.empty(0, U)
     small = -(-groups * 100 // share)  # sets up to this size have least <= groups
-    singles = [tokens[: min(need, n_rare)]]
+    holders = tokens if holders is None else holders
+    rare = holders[: min(need, n_rare)]
+    singles = [_dealt(rare >> U(20), mix(rare))]
     pairs = []
     if need > n_rare:
         frequent, missing = tokens[n_rare:], need - n_rare
         if n <= -(-small * 100 // share):
-            singles.append(frequent[:missing])
+            singles.append(mix(holders[n_rare:][:missing]))
         if least > groups:
             group = (frequent % U(groups)).astype(np.int64)
             firsts = np.zeros(len(frequent), bool)
@@ -287,10 +308,10 @@ def prefix_signatures(n: int, tokens: np.ndarray, n_rare: int, share: int, group
             stands = np.cumsum(~firsts)
             end = int(np.searchsorted(stands, missing)) + 1
             for g in range(groups):
-                mine = frequent[:end][group[:end] == g]
+                mine = holders[n_rare:][:end][group[:end] == g]
                 i, j = np.triu_indices(len(mine), 1)
-                pairs.append(mix(mix(mine[i]) * MULTIPLIER + mine[j]))
-    return np.unique(np.concatenate([mix(np.concatenate(singles)), *pairs]))
+                pairs.append(_dealt(mix((mine[i] >> U(20)) + U(g % PLACES)), mix(mix(mine[i]) * MULTIPLIER + mine[j])))
+    return np.unique(np.concatenate([*singles, *pairs]))
 
 
 SETS = "kind int, key long, sets binary, sizes binary, counts binary, tokens binary, set_id long, n long"
@@ -308,9 +329,9 @@ def _sign(postings: DataFrame, buckets: int, width: int, share: int, tuning: Tun
         some = of >= 0
         sets_of, sizes_of = np.zeros(len(of), np.int64), np.zeros(len(of), np.int32)
         sets_of[some], sizes_of[some] = set_ids[of[some]], set_sizes[of[some]]
-        _, at, tokens, classes = _open(rows)
-        order = np.lexsort((tokens, classes, at))
-        at, tokens, classes = at[order], tokens[order], classes[order]
+        _, at, tokens, classes, holders = _open(rows)
+        order = np.lexsort((tokens, holders, classes, at))
+        at, tokens, classes, holders = at[order], tokens[order], classes[order], holders[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
         ends = np.append(first[1:], len(at)) if len(at) else first
         rare = np.add.reduceat((classes <= tuning.level).astype(np.int64), first) if len(first) else first
@@ -319,7 +340,7 @@ def _sign(postings: DataFrame, buckets: int, width: int, share: int, tuning: Tun
         out: list[list] = [[3, 0, about["ids"], sizes_of.tobytes(), about["classes"], sets_of.tobytes(), 0, 0]]
         sig_sets, sig_sizes, sigs = [], [], []
         for lo, hi, r, size, sid in zip(first[able].tolist(), ends[able].tolist(), rare[able].tolist(), n[able].tolist(), sets[able].tolist(), strict=True):
-            found = prefix_signatures(size, tokens[lo:hi], r, share, tuning.groups)
+            found = prefix_signatures(size, tokens[lo:hi], r, share, tuning.groups, holders[lo:hi])
             if len(found):
                 out.append([0, 0, b"", b"", b"", squeeze(np.sort(tokens[lo:hi]), width), sid, size])
                 sig_sets.append(np.full(len(found), sid))
@@ -367,21 +388,25 @@ def _documents(signed: DataFrame) -> DataFrame:
 
 #: Pairs of rows up to which a shingle's are counted one by one; pairs that are counted at once, about.
 FEW_PAIRS, PAIRS_AT_ONCE = 2_000, 4 << 20
-EDGES = "bucket long, family long, hub long, hub_n long, member long, member_n long"
+EDGES = "family long, hub long, hub_n long, member long, member_n long"
 
 
 def _star(bucket: np.ndarray, hot: np.ndarray, sets: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Edges from the first member of each run to the others. Buckets of one hub are a family; a hot bucket has several hubs, and is a family of its own."""
+    """Distinct edges from the first member of each run to the others. Buckets of one hub are a family; a hot bucket has several hubs, and is a family of its own."""
     runs = np.diff(np.append(starts, len(sets)))
     head = np.zeros(len(sets), bool)
     head[starts] = True
     hub = np.repeat(starts, runs)
     family = np.where(hot, mix(bucket.astype(U) ^ MIX1), mix(sets[starts].astype(U))).astype(np.int64)
-    return [np.repeat(bucket, runs)[~head], np.repeat(family, runs)[~head], sets[hub][~head], sizes[hub][~head], sets[~head], sizes[~head]]
+    edges = [a[~head] for a in (np.repeat(family, runs), sets[hub], sizes[hub], sets, sizes)]
+    order = np.lexsort((edges[3], edges[1], edges[0]))
+    f, h, m = (edges[i][order] for i in (0, 1, 3))
+    once = order[np.append(True, (f[1:] != f[:-1]) | (h[1:] != h[:-1]) | (m[1:] != m[:-1]))[: len(m)]]
+    return [e[once] for e in edges]
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """Star edges of the buckets; buckets of one range with the same members are one."""
+    """Star edges of the buckets; of one range, each edge of a family once."""
     names = [c.split()[0] for c in EDGES.split(", ")]
 
     def run(group: pa.Table) -> pa.Table:
@@ -403,16 +428,10 @@ def _buckets(signed: DataFrame) -> DataFrame:
         sets, sizes, sigs = sets[new], sizes[new], sigs[new]
         starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
         runs = np.diff(np.append(starts, len(sigs)))
-        same = np.add.reduceat(mix(sets.astype(U)), starts) + U(1) * runs.astype(U)
-        ident = np.where(hot, sigs[starts], mix(same))
-        _, once = np.unique(ident, return_index=True)
-        chosen = np.zeros(len(starts), bool)
-        chosen[once] = True
-        chosen &= runs > 1
+        chosen = runs > 1
         rows = np.repeat(chosen, runs)
-        sets, sizes = sets[rows], sizes[rows]
         begin = np.append(0, np.cumsum(runs[chosen]))[:-1]
-        edges = _star(ident[chosen].astype(np.int64), hot[chosen], sets, sizes, begin) if len(begin) else [np.empty(0, np.int64)] * len(names)
+        edges = _star(sigs[starts][chosen], hot[chosen], sets[rows], sizes[rows], begin) if len(begin) else [np.empty(0, np.int64)] * len(names)
         return pa.Table.from_arrays([pa.array(e, pa.int64()) for e in edges], names=names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,10 +585,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 75, tuning:
     tried = stars.groupBy("hub", "member").agg(F.max("hub_n").alias("a_n"), F.max("member_n").alias("b_n")).withColumnsRenamed({"hub": "a", "member": "b"})
     links = written(_verified(tried, sets, width, share), "verified")
     roots = components(links)
-    # of the buckets with a member that didn't link to the hub, those of one hub are a family, as they have mostly the same members
-    failed = stars.join(links, (F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti").select("bucket").distinct()
+    # the buckets of one hub are a family, as they have mostly the same members; of interest are those with a member that didn't link to the hub
+    failed = stars.join(links, (F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")), "left_anti").select("family").distinct()
     pair = F.explode(F.array(F.struct(F.col("member").alias("node"), F.col("member_n").alias("n")), F.struct(F.col("hub").alias("node"), F.col("hub_n").alias("n"))))
-    members = stars.join(failed, "bucket", "left_semi").select("family", pair.alias("m")).select("family", "m.*").distinct()
+    members = stars.join(failed, "family", "left_semi").select("family", pair.alias("m")).select("family", "m.*").distinct()
     members = written(members.join(roots, "node", "left").select("family", "node", "n", F.coalesce("root", "node").alias("root")), "members")
     main = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).where("most < size")
     # a row for each family: in a table of its own, so that a large family's members needn't come to where these were made

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tabulon.llm import jaccard
+from tabulon.llm.common import written
 from tabulon.llm.jaccard import Tuning, WordHashes, components, from_planes, jaccard_components, planes, prefix_signatures, shingles, words_of
 
 
@@ -105,6 +106,38 @@ def test_common_in_every_block_but_rare_in_each(spark):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_edges_do_not_grow_with_the_ranges(spark, monkeypatch):
+    """Near copies share many signatures; hub and member are a row or a few, however many ranges the signatures are dealt to."""
+    rng = random.Random(4)
+    rows = []
+
+    def near(n):
+        w = [f"w{rng.randrange(9000)}" for _ in range(120)]
+        for _ in range(n):
+            own = list(w)
+            own[rng.randrange(120)] = "other"
+            rows.append((len(rows), " ".join(own)))
+
+    for _ in range(40):
+        near(2)
+    near(30)
+    stars = {}
+
+    def kept(df, name, *more):
+        out = written(df, name, *more)
+        if name == "stars":
+            stars[ranges] = out.select("hub", "member").collect()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for ranges, tuning in [("one", Tuning(frequent=8, groups=2)), ("many", Tuning(frequent=8, groups=2, range=250, largest=250))]:
+        got = jaccard_components(df, tuning=tuning).collect()
+        assert sorted(tuple(r) for r in got) == brute(rows)
+    one, many = stars["one"], stars["many"]
+    assert len(many) <= 4 * len(set(many)) and len(many) <= 4 * len(one)
+
+
 def test_columns_named_like_internal_ones(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]
     names = ["key", "block", "base", "at", "tokens", "set_id", "n", "hub", "member", "family", "root", "node", "kind", "component_id", "n_shingles"]
